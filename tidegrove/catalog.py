@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import registry
+from .functions import text  # noqa: F401
+from .operators import algebra, cross, groupstats, sampling, segments, series  # noqa: F401
+from .plans import reports  # noqa: F401
+from .sources import files  # noqa: F401
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLE)
