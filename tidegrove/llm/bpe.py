@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAF = 1 << 15
+#: Rows whose ids are held at a time.
+ROWS = 256
 _BREAK = re.compile(r"[^\s\x85\xa0](?=[ \n])")
 
 
@@ -98,37 +100,52 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids) for every row; ids are unsigned 32-bit little-endian integers in one binary value."""
-
+def _encode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, len(batch), ROWS):
+                part = batch.slice(lo, ROWS)
                 ids = [own.encode(x.as_py().decode("utf-8", "replace") if x.is_valid else "") for x in part.column(1).cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, ids), pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
+            del batch
+            pa.default_memory_pool().release_unused()
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
+    return run
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``encoded`` with a column ``decoded``: the bytes that its ids stand for."""
-    names = encoded.columns
-
+def _decode(path: str, pattern: str, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, len(batch), ROWS):
+                part = batch.slice(lo, ROWS)
                 texts = [own.decode(np.frombuffer(x.as_py(), "<u4")) if x.is_valid else b"" for x in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*names, "decoded"])
 
-    return encoded.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes) + ", decoded binary")
+    return run
+
+
+_ENCODED = "doc_id bigint, n_tokens bigint, ids binary"
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids) for every row; ids are unsigned 32-bit little-endian integers in one binary value."""
+    return _rows(docs, id_col, text_col).mapInArrow(_encode(path, pattern), _ENCODED)
+
+
+def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``encoded`` with a column ``decoded``: the bytes that its ids stand for."""
+    return encoded.mapInArrow(_decode(path, pattern, encoded.columns), ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes) + ", decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts and digests of the ids of every text, and of the bytes they decode to."""
-    both = decode(encode(docs, path, pattern, id_col, text_col), path, pattern)
+    """Counts and digests of the ids of every text, and of the bytes they decode to. Both ways run in one Python worker a
+    task, a few hundred rows at a time."""
+    there, back = _encode(path, pattern), _decode(path, pattern, ["doc_id", "n_tokens", "ids"])
+    both = _rows(docs, id_col, text_col).mapInArrow(lambda batches: back(there(batches)), _ENCODED + ", decoded binary")
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -127,6 +127,7 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
             column = batch.column(at)
             kept = [measure(texts)["kept"] for texts in W.slices(column.cast(pa.string()))]
             if kept:
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays(batch.columns, [f"c{k}" for k in range(len(names))]).filter(pa.array(np.concatenate(kept)))
 
     plain = docs.toDF(*(f"c{k}" for k in range(len(names))))  # names may clash

@@ -40,7 +40,7 @@ def powers(n: int, base: int = _BASE) -> np.ndarray:
     """base**0 to base**(n-1) modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 20), base, np.uint64)
+        steps = np.full(max(n, 1 << 18), base, np.uint64)
         steps[0] = 1
         have = _powers[base] = np.multiply.accumulate(steps)
     return have[:n]
@@ -54,7 +54,7 @@ class Texts(NamedTuple):
     offsets: np.ndarray
 
 
-def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[Texts]:
+def slices(column: pa.Array, most: int = 1 << 18) -> Iterator[Texts]:
     """The texts of a string column, about ``most`` bytes at a time; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
