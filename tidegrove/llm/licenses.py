@@ -65,7 +65,7 @@ Unless required by applicable law or agreed to in writing, software distributed
 }
 # Spellings that count as equal, in canonical form.
 EQUIVALENT = {
-    "licence": "license", "licences": "licenses", "licenced": "licensed", "sub license": "sublicense", "sub licence": "sublicense",
+    "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "sub license": "sublicense", "sub licence": "sublicense",
     "non infringement": "noninfringement", "merchantibility": "merchantability", "acknowledgement": "acknowledgment",
     "whilst": "while", "favour": "favor", "organisation": "organization", "fulfil": "fulfill", "copyright owner": "copyright holder",
     "v 2 0": "version 2 0", "https": "http", "per cent": "percent",
