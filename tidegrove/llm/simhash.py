@@ -205,10 +205,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is its component's; of rows that share that doc_id, one. Rows without a doc_id
-    stay, as none of them can stand for another."""
+    stay, as none of them can stand for another. The join is by sorted shuffle at every size, so that disk and time grow
+    with the input alone."""
     found = near_duplicates(docs)
     keep = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("same"))
     keep = cut(keep, "simhash-keep")
-    single = docs.join(keep.where("same = 1").select("doc_id"), "doc_id", "left_semi")
+    single = docs.join(keep.where("same = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
     several = docs.join(keep.where("same > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return single.unionByName(several).unionByName(docs.where("doc_id is null")).select(*docs.columns)
