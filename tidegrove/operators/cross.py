@@ -24,7 +24,7 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sid, sample, mean, std, lo, hi, h1, h2, peak, type), a row a channel."""
     p = series(spark, sf_dir)
     kinds = segment(p).groupBy("sid", "type").agg(F.count(F.lit(1)).alias("c"), F.min("seg").alias("f")).groupBy("sid").agg(F.max_by("type", F.struct("c", -F.col("f"))).alias("type"))
-    stats = p.groupBy("sid").agg(rnd(F.avg("value"), 2).alias("mean"), rnd(F.stddev_pop("value"), 2).alias("std"), F.min("value").alias("lo"), F.max("value").alias("hi"), rnd(F.avg(part(POS < HALF)), 2).alias("h1"), rnd(F.avg(part(POS >= HALF)), 2).alias("h2"), F.max_by("pos", F.struct("value", -POS)).alias("peak"))
+    stats = p.groupBy("sid").agg(rnd(F.avg("value"), 2).alias("mean"), rnd(F.stddev_pop("value"), 2).alias("std"), F.min("value").alias("lo"), F.max("value").alias("hi"), rnd(F.avg(part(POS() < HALF())), 2).alias("h1"), rnd(F.avg(part(POS() >= HALF())), 2).alias("h2"), F.max_by("pos", F.struct("value", -POS())).alias("peak"))
     return stats.join(kinds, "sid").withColumn("sample", F.col("sid") % SAMPLES)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..registry import query, rnd, table
 
 SCORE_SQL = "WITH s AS (SELECT l_orderkey AS g, l_linenumber AS i, l_partkey AS p, l_suppkey AS q, l_quantity / 50 AS s, l_extendedprice AS len FROM lineitem), w AS (SELECT *, avg(s) OVER g AS mu, stddev_samp(s) OVER g AS sd, var_samp(s) OVER g AS va, count(*) OVER g AS c, sum(s) OVER g AS t, sum(s * len) OVER g / sum(len) OVER g AS ob FROM s WINDOW g AS (PARTITION BY g)) "
-G = Window.partitionBy("g")
+G = lambda: Window.partitionBy("g")  # noqa: E731  columns need a session
 KEYS = ["g", "i", "p", "q"]
 
 
@@ -23,24 +23,26 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _windowed(name: str, expr, sql: str):
     def run(spark, sf_dir):
-        return scores(spark, sf_dir).select(*KEYS, rnd(expr, 4).alias("adv"))
+        return scores(spark, sf_dir).select(*KEYS, rnd(expr(), 4).alias("adv"))
 
     query(SCORE_SQL + f"SELECT g, i, p, q, round({sql}, 4) AS adv FROM w", name)(run)
 
 
-_s, _c, _mu = F.col("s"), F.count(F.lit(1)).over(G), F.avg("s").over(G)
-_sd = F.stddev_samp("s").over(G)
-_windowed("grpo_advantage", F.when(_c == 1, _s / (1 + 1e-6)).otherwise((_s - _mu) / (_sd + 1e-6)), "CASE WHEN c = 1 THEN s / (1 + 1e-6) ELSE (s - mu) / (sd + 1e-6) END")
-_windowed("grpo_vectorized", F.when(_c == 1, 0.0).otherwise((_s - _mu) / F.sqrt(F.greatest(F.var_samp("s").over(G), F.lit(1e-6)))), "CASE WHEN c = 1 THEN 0 ELSE (s - mu) / sqrt(greatest(va, 1e-6)) END")
-_windowed("rloo", F.when(_c == 1, _s).otherwise(_s * _c / (_c - 1) - _mu * _c / (_c - 1)), "CASE WHEN c = 1 THEN s ELSE s * c / (c - 1) - mu * c / (c - 1) END")
-_windowed("rloo_vectorized", F.when(_c == 1, 0.0).otherwise((_c * _s - F.sum("s").over(G)) / F.greatest(_c - 1, F.lit(1))), "CASE WHEN c = 1 THEN 0 ELSE (c * s - t) / greatest(c - 1, 1) END")
-_windowed("opo", _s - F.sum(_s * F.col("len")).over(G) / F.sum("len").over(G), "s - ob")
+_s = lambda: F.col("s")
+_c = lambda: F.count(F.lit(1)).over(G())
+_mu = lambda: F.avg("s").over(G())
+_sd = lambda: F.stddev_samp("s").over(G())
+_windowed("grpo_advantage", lambda: F.when(_c() == 1, _s() / (1 + 1e-6)).otherwise((_s() - _mu()) / (_sd() + 1e-6)), "CASE WHEN c = 1 THEN s / (1 + 1e-6) ELSE (s - mu) / (sd + 1e-6) END")
+_windowed("grpo_vectorized", lambda: F.when(_c() == 1, 0.0).otherwise((_s() - _mu()) / F.sqrt(F.greatest(F.var_samp("s").over(G()), F.lit(1e-6)))), "CASE WHEN c = 1 THEN 0 ELSE (s - mu) / sqrt(greatest(va, 1e-6)) END")
+_windowed("rloo", lambda: F.when(_c() == 1, _s()).otherwise(_s() * _c() / (_c() - 1) - _mu() * _c() / (_c() - 1)), "CASE WHEN c = 1 THEN s ELSE s * c / (c - 1) - mu * c / (c - 1) END")
+_windowed("rloo_vectorized", lambda: F.when(_c() == 1, 0.0).otherwise((_c() * _s() - F.sum("s").over(G())) / F.greatest(_c() - 1, F.lit(1))), "CASE WHEN c = 1 THEN 0 ELSE (c * s - t) / greatest(c - 1, 1) END")
+_windowed("opo", lambda: _s() - F.sum(_s() * F.col("len")).over(G()) / F.sum("len").over(G()), "s - ob")
 
 
 @query(SCORE_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s DESC, i) AS k, lead(s) OVER (PARTITION BY g ORDER BY s DESC, i) AS s2 FROM w WHERE c >= 2) SELECT g, i, round(s - s2, 4) AS adv FROM r WHERE k = 1")
 def grpo_passk(spark, sf_dir):
     """The best row's lead over the second best; groups of one are left out."""
-    o = G.orderBy(F.desc("s"), "i")
+    o = G().orderBy(F.desc("s"), "i")
     r = scores(spark, sf_dir).withColumn("k", F.row_number().over(o)).withColumn("s2", F.lead("s").over(o))
     return r.where("k = 1 AND s2 IS NOT NULL").select("g", "i", rnd(F.col("s") - F.col("s2"), 4).alias("adv"))
 
@@ -48,7 +50,7 @@ def grpo_passk(spark, sf_dir):
 @query(SCORE_SQL + ", b AS (SELECT *, s - mu AS d FROM w), t AS (SELECT avg(d) AS m, var_samp(d) AS v FROM b) SELECT g, i, p, q, round((d - m) / sqrt(v + 1e-8), 4) AS adv FROM b, t")
 def rpp_baseline(spark, sf_dir):
     """Scores less their group's mean, whitened over all rows."""
-    b = scores(spark, sf_dir).withColumn("d", F.col("s") - F.avg("s").over(G))
+    b = scores(spark, sf_dir).withColumn("d", F.col("s") - F.avg("s").over(G()))
     t = b.agg(F.avg("d").alias("m"), F.var_samp("d").alias("v"))
     return b.join(F.broadcast(t)).select(*KEYS, rnd((F.col("d") - F.col("m")) / F.sqrt(F.col("v") + 1e-8), 4).alias("adv"))  # one row
 
@@ -57,7 +59,7 @@ def rpp_baseline(spark, sf_dir):
 def gpg(spark, sf_dir):
     d = scores(spark, sf_dir)
     n = d.agg((F.count(F.lit(1)) / F.count(F.when(F.col("s") != 0, 1))).alias("alpha"))
-    return d.withColumn("mu", F.avg("s").over(G)).join(F.broadcast(n)).select(*KEYS, rnd(F.col("alpha") * (F.col("s") - F.col("mu")), 4).alias("adv"))  # one row
+    return d.withColumn("mu", F.avg("s").over(G())).join(F.broadcast(n)).select(*KEYS, rnd(F.col("alpha") * (F.col("s") - F.col("mu")), 4).alias("adv"))  # one row
 
 
 @query(SCORE_SQL + "SELECT g, count(*) AS n, round(CASE WHEN count(*) = 1 THEN 0 ELSE avg(s) END, 4) AS mean, round(CASE WHEN count(*) = 1 THEN 1 ELSE stddev_samp(s) END, 4) AS std FROM s GROUP BY g")
@@ -83,7 +85,7 @@ def majority_vote(spark, sf_dir):
 @query(SCORE_SQL + ", o AS (SELECT g, s, c, row_number() OVER (PARTITION BY g ORDER BY s, i, p, q) AS k FROM w) SELECT g, " + ", ".join(f"round(sum(s * (pow(k / c::DOUBLE, {n}) - pow((k - 1) / c::DOUBLE, {n}))), 4) AS best{n}, round(sum(s * (pow((c - k + 1) / c::DOUBLE, {n}) - pow((c - k) / c::DOUBLE, {n}))), 4) AS worst{n}" for n in (2, 4)) + " FROM o GROUP BY g")
 def best_worst_of_n(spark, sf_dir):
     """The exact expectation of the best and worst of n draws with replacement, instead of resampling."""
-    o = scores(spark, sf_dir).withColumn("c", F.count(F.lit(1)).over(G)).withColumn("k", F.row_number().over(G.orderBy("s", "i", "p", "q")))
+    o = scores(spark, sf_dir).withColumn("c", F.count(F.lit(1)).over(G())).withColumn("k", F.row_number().over(G().orderBy("s", "i", "p", "q")))
     up = lambda x, n: F.pow(x / F.col("c"), F.lit(float(n)))
     k, c = F.col("k"), F.col("c")
     cols = [f(n) for n in (2, 4) for f in (lambda n: rnd(F.sum(F.col("s") * (up(k, n) - up(k - 1, n))), 4).alias(f"best{n}"), lambda n: rnd(F.sum(F.col("s") * (up(c - k + 1, n) - up(c - k, n))), 4).alias(f"worst{n}"))]

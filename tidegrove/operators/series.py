@@ -47,15 +47,16 @@ def chunks(points: DataFrame, size: int = CHUNK) -> DataFrame:
     return points.groupBy("sid", F.floor(F.col("pos") / size).alias("k")).agg(F.max("n").alias("n"), rnd(F.avg("value"), 2).alias("m"))
 
 
-HALF = F.floor(F.col("n") / 2)
-THIRD = F.floor(F.col("n") / 3)
-QUARTER = F.floor(F.col("n") / 4)
-POS = F.col("pos")
+#: Columns need a session, so these are made when asked for.
+HALF = lambda: F.floor(F.col("n") / 2)
+THIRD = lambda: F.floor(F.col("n") / 3)
+QUARTER = lambda: F.floor(F.col("n") / 4)
+POS = lambda: F.col("pos")
 
 
 def quarter() -> Column:
     """0 to 3; the last quarter takes the rest."""
-    return F.when(QUARTER == 0, 3).otherwise(F.least(F.floor(POS / QUARTER), F.lit(3)))
+    return F.when(QUARTER() == 0, 3).otherwise(F.least(F.floor(POS() / QUARTER()), F.lit(3)))
 
 
 def statistics(points: DataFrame) -> DataFrame:
@@ -71,8 +72,8 @@ def statistics(points: DataFrame) -> DataFrame:
         F.sum((F.abs(F.col("value") - F.col("mu")) > 2 * F.col("sd")).cast("int")).alias("outliers"),
         F.coalesce(F.sum("crossed"), F.lit(0)).alias("mean_crossings"), F.sum((F.col("value") > F.col("mu")).cast("int")).alias("above_mean"),
         F.sum((F.col("value") > F.col("mu") + F.col("sd")).cast("int")).alias("above_mean_std"), F.sum((F.col("value") < F.col("mu") - F.col("sd")).cast("int")).alias("below_mean_std"),
-        rnd(F.avg(part(POS < HALF)), 4).alias("first_half_mean"), rnd(F.avg(part(POS >= HALF)), 4).alias("second_half_mean"),
-        rnd(F.stddev_pop(part(POS < HALF)), 4).alias("first_half_std"), rnd(F.stddev_pop(part(POS >= HALF)), 4).alias("second_half_std"),
+        rnd(F.avg(part(POS() < HALF())), 4).alias("first_half_mean"), rnd(F.avg(part(POS() >= HALF())), 4).alias("second_half_mean"),
+        rnd(F.stddev_pop(part(POS() < HALF())), 4).alias("first_half_std"), rnd(F.stddev_pop(part(POS() >= HALF())), 4).alias("second_half_std"),
     )
 
 
@@ -108,13 +109,13 @@ def global_chunk_mean(spark, sf_dir):
 @query(SERIES_SQL + "SELECT sid, round(avg(m), 4) AS mean FROM (SELECT sid, (pos - 10) // 16 AS k, round(avg(value), 2) AS m FROM s WHERE pos BETWEEN 10 AND 40 GROUP BY ALL) GROUP BY sid")
 def interval_mean(spark, sf_dir, a: int = 10, b: int = 40):
     """Mean of the rounded chunk means of points a to b, both in; chunks start at a."""
-    p = series(spark, sf_dir).where(POS.between(a, b))
-    return p.groupBy("sid", F.floor((POS - a) / CHUNK).alias("k")).agg(rnd(F.avg("value"), 2).alias("m")).groupBy("sid").agg(rnd(F.avg("m"), 4).alias("mean"))
+    p = series(spark, sf_dir).where(POS().between(a, b))
+    return p.groupBy("sid", F.floor((POS() - a) / CHUNK).alias("k")).agg(rnd(F.avg("value"), 2).alias("m")).groupBy("sid").agg(rnd(F.avg("m"), 4).alias("mean"))
 
 
 @query(SERIES_SQL + "SELECT sid, round(stddev_pop(value), 4) AS std FROM s WHERE pos BETWEEN 10 AND 40 GROUP BY sid")
 def interval_std(spark, sf_dir, a: int = 10, b: int = 40):
-    return series(spark, sf_dir).where(POS.between(a, b)).groupBy("sid").agg(rnd(F.stddev_pop("value"), 4).alias("std"))
+    return series(spark, sf_dir).where(POS().between(a, b)).groupBy("sid").agg(rnd(F.stddev_pop("value"), 4).alias("std"))
 
 
 @query(SERIES_SQL + "SELECT DISTINCT sid, first_value(pos) OVER (PARTITION BY sid ORDER BY value DESC, pos)::INT AS max_pos, first_value(pos) OVER (PARTITION BY sid ORDER BY value, pos)::INT AS min_pos, max(value) OVER (PARTITION BY sid) AS max, min(value) OVER (PARTITION BY sid) AS min FROM s")
@@ -127,11 +128,11 @@ def percentile_k(spark, sf_dir):
     return series(spark, sf_dir).groupBy("sid").agg(*(rnd(F.expr(f"percentile(value, {p / 100})"), 4).alias(f"p{p}") for p in (10, 25, 50, 75, 90)))
 
 
-def _aggregate(name: str, columns: dict[str, Column], sql: dict[str, str], having: str | None = None):
+def _aggregate(name: str, columns, sql: dict[str, str], having: str | None = None):
     """A query that is one aggregation by series."""
 
     def run(spark, sf_dir):
-        out = series(spark, sf_dir).groupBy("sid").agg(*(c.alias(n) for n, c in columns.items()))
+        out = series(spark, sf_dir).groupBy("sid").agg(*(c.alias(n) for n, c in columns().items()))
         return out.where(having) if having else out
 
     text = SERIES_SQL + "SELECT * FROM (SELECT sid, " + ", ".join(f"{e} AS {n}" for n, e in sql.items()) + " FROM s GROUP BY sid)" + (f" WHERE {having}" if having else "")
@@ -142,28 +143,31 @@ def _avg(c: Column) -> Column:
     return F.avg(part(c))
 
 
-_H1, _H2 = POS < HALF, POS >= HALF
-_Q1, _Q4 = POS < QUARTER, POS >= 3 * QUARTER
-_T1, _T3 = POS < THIRD, POS >= F.col("n") - THIRD
+_H1 = lambda: POS() < HALF()
+_H2 = lambda: POS() >= HALF()
+_Q1 = lambda: POS() < QUARTER()
+_Q4 = lambda: POS() >= 3 * QUARTER()
+_T1 = lambda: POS() < THIRD()
+_T3 = lambda: POS() >= F.col("n") - THIRD()
 _std = lambda c: F.stddev_pop(part(c))
-_aggregate("half_mean_diff", {"diff": rnd(F.abs(_avg(_H1) - _avg(_H2)), 4)}, {"diff": "round(abs(avg(value) FILTER (pos < n // 2) - avg(value) FILTER (pos >= n // 2)), 4)"})
-_aggregate("half_mean_compare", {"first_higher": _avg(_H1) > _avg(_H2)}, {"first_higher": "avg(CASE WHEN pos < n // 2 THEN value END) > avg(CASE WHEN pos >= n // 2 THEN value END)"})
-_aggregate("third_mean_shift", {"shifted": F.abs(_avg(_T1) - _avg(_T3)) > 10}, {"shifted": "abs(avg(value) FILTER (pos < n // 3) - avg(value) FILTER (pos >= n - n // 3)) > 10"})
-_aggregate("condition_recovery", {"recovered": F.abs(_avg(_Q1) - _avg(_Q4)) < 10}, {"recovered": "abs(avg(value) FILTER (pos < n // 4) - avg(value) FILTER (pos >= 3 * (n // 4))) < 10"})
-_aggregate("interval_comparison", {"first_higher": _avg(POS.between(0, 19)) > _avg(POS.between(20, 39))}, {"first_higher": "avg(value) FILTER (pos <= 19) > avg(value) FILTER (pos BETWEEN 20 AND 39)"})
-_aggregate("range_query", {"range": rnd(F.max("value") - F.min("value"), 2)}, {"range": "round(max(value) - min(value), 2)"})
-_aggregate("normalized_range", {"ratio": F.when(F.stddev_pop("value") >= 0.01, rnd((F.max("value") - F.min("value")) / F.stddev_pop("value"), 4))}, {"ratio": "CASE WHEN stddev_pop(value) >= .01 THEN round((max(value) - min(value)) / stddev_pop(value), 4) END"}, "ratio IS NOT NULL")
-_aggregate("volatility_change", {"rose": rnd(_std(_H2), 2) > rnd(_std(_H1), 2)}, {"rose": "round(stddev_pop(value) FILTER (pos >= n // 2), 2) > round(stddev_pop(value) FILTER (pos < n // 2), 2)"})
-_aggregate("max_first_half", {"yes": first_max() < F.max(HALF)}, {"yes": "arg_max(pos, struct_pack(v := value, p := -pos)) < max(n // 2)"})
-_aggregate("extrema_same_half", {"yes": (first_max() < F.max(HALF)) == (first_min() < F.max(HALF))}, {"yes": "(arg_max(pos, struct_pack(v := value, p := -pos)) < max(n // 2)) = (arg_min(pos, struct_pack(v := value, p := pos)) < max(n // 2))"})
-_aggregate("max_before_min", {"yes": first_max() < first_min()}, {"yes": "arg_max(pos, struct_pack(v := value, p := -pos)) < arg_min(pos, struct_pack(v := value, p := pos))"})
-_aggregate("extrema_distance", {"gap": F.abs(first_max() - first_min()).cast("bigint")}, {"gap": "abs(arg_max(pos, struct_pack(v := value, p := -pos)) - arg_min(pos, struct_pack(v := value, p := pos)))"})
-_aggregate("median_mean_close", {"yes": F.abs(F.expr("percentile(value, 0.5)") - F.avg("value")) < 10}, {"yes": "abs(median(value) - avg(value)) < 10"})
-_aggregate("std_exceeds_half_range", {"yes": F.stddev_pop("value") > (F.max("value") - F.min("value")) / 4}, {"yes": "stddev_pop(value) > (max(value) - min(value)) / 4"})
-_aggregate("threshold_duration", {"above": F.sum((F.col("value") > 50).cast("bigint"))}, {"above": "count(*) FILTER (value > 50)"})
-_aggregate("global_std", {"std": rnd(F.stddev_pop("value"), 4)}, {"std": "round(stddev_pop(value), 4)"})
-_aggregate("max_value", {"max": F.max("value")}, {"max": "max(value)"})
-_aggregate("min_value", {"min": F.min("value")}, {"min": "min(value)"})
+_aggregate("half_mean_diff", lambda: {"diff": rnd(F.abs(_avg(_H1()) - _avg(_H2())), 4)}, {"diff": "round(abs(avg(value) FILTER (pos < n // 2) - avg(value) FILTER (pos >= n // 2)), 4)"})
+_aggregate("half_mean_compare", lambda: {"first_higher": _avg(_H1()) > _avg(_H2())}, {"first_higher": "avg(CASE WHEN pos < n // 2 THEN value END) > avg(CASE WHEN pos >= n // 2 THEN value END)"})
+_aggregate("third_mean_shift", lambda: {"shifted": F.abs(_avg(_T1()) - _avg(_T3())) > 10}, {"shifted": "abs(avg(value) FILTER (pos < n // 3) - avg(value) FILTER (pos >= n - n // 3)) > 10"})
+_aggregate("condition_recovery", lambda: {"recovered": F.abs(_avg(_Q1()) - _avg(_Q4())) < 10}, {"recovered": "abs(avg(value) FILTER (pos < n // 4) - avg(value) FILTER (pos >= 3 * (n // 4))) < 10"})
+_aggregate("interval_comparison", lambda: {"first_higher": _avg(POS().between(0, 19)) > _avg(POS().between(20, 39))}, {"first_higher": "avg(value) FILTER (pos <= 19) > avg(value) FILTER (pos BETWEEN 20 AND 39)"})
+_aggregate("range_query", lambda: {"range": rnd(F.max("value") - F.min("value"), 2)}, {"range": "round(max(value) - min(value), 2)"})
+_aggregate("normalized_range", lambda: {"ratio": F.when(F.stddev_pop("value") >= 0.01, rnd((F.max("value") - F.min("value")) / F.stddev_pop("value"), 4))}, {"ratio": "CASE WHEN stddev_pop(value) >= .01 THEN round((max(value) - min(value)) / stddev_pop(value), 4) END"}, "ratio IS NOT NULL")
+_aggregate("volatility_change", lambda: {"rose": rnd(_std(_H2()), 2) > rnd(_std(_H1()), 2)}, {"rose": "round(stddev_pop(value) FILTER (pos >= n // 2), 2) > round(stddev_pop(value) FILTER (pos < n // 2), 2)"})
+_aggregate("max_first_half", lambda: {"yes": first_max() < F.max(HALF())}, {"yes": "arg_max(pos, struct_pack(v := value, p := -pos)) < max(n // 2)"})
+_aggregate("extrema_same_half", lambda: {"yes": (first_max() < F.max(HALF())) == (first_min() < F.max(HALF()))}, {"yes": "(arg_max(pos, struct_pack(v := value, p := -pos)) < max(n // 2)) = (arg_min(pos, struct_pack(v := value, p := pos)) < max(n // 2))"})
+_aggregate("max_before_min", lambda: {"yes": first_max() < first_min()}, {"yes": "arg_max(pos, struct_pack(v := value, p := -pos)) < arg_min(pos, struct_pack(v := value, p := pos))"})
+_aggregate("extrema_distance", lambda: {"gap": F.abs(first_max() - first_min()).cast("bigint")}, {"gap": "abs(arg_max(pos, struct_pack(v := value, p := -pos)) - arg_min(pos, struct_pack(v := value, p := pos)))"})
+_aggregate("median_mean_close", lambda: {"yes": F.abs(F.expr("percentile(value, 0.5)") - F.avg("value")) < 10}, {"yes": "abs(median(value) - avg(value)) < 10"})
+_aggregate("std_exceeds_half_range", lambda: {"yes": F.stddev_pop("value") > (F.max("value") - F.min("value")) / 4}, {"yes": "stddev_pop(value) > (max(value) - min(value)) / 4"})
+_aggregate("threshold_duration", lambda: {"above": F.sum((F.col("value") > 50).cast("bigint"))}, {"above": "count(*) FILTER (value > 50)"})
+_aggregate("global_std", lambda: {"std": rnd(F.stddev_pop("value"), 4)}, {"std": "round(stddev_pop(value), 4)"})
+_aggregate("max_value", lambda: {"max": F.max("value")}, {"max": "max(value)"})
+_aggregate("min_value", lambda: {"min": F.min("value")}, {"min": "min(value)"})
 
 
 @query(SERIES_SQL + """, m AS (SELECT sid, round(avg(value), 2) AS mu FROM s GROUP BY sid),
@@ -173,7 +177,7 @@ def mean_crossings(spark, sf_dir):
     p = series(spark, sf_dir)
     p = p.join(p.groupBy("sid").agg(rnd(F.avg("value"), 2).alias("mu")), "sid").withColumn("g", F.signum(F.col("value") - F.col("mu")))
     p = p.withColumn("hit", F.lag("g").over(Window.partitionBy("sid").orderBy("pos")) != F.col("g"))
-    return p.groupBy("sid").agg(F.count(F.when(F.col("hit"), 1)).alias("crossings"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("hit"), POS))), ",").alias("at"))
+    return p.groupBy("sid").agg(F.count(F.when(F.col("hit"), 1)).alias("crossings"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("hit"), POS()))), ",").alias("at"))
 
 
 @query(SERIES_SQL + """, z AS (SELECT *, avg(value) OVER w AS mu, stddev_pop(value) OVER w AS sd FROM s WINDOW w AS (PARTITION BY sid))
@@ -182,7 +186,7 @@ def outliers_2sigma(spark, sf_dir):
     w = Window.partitionBy("sid")
     z = series(spark, sf_dir).withColumn("d", F.abs(F.col("value") - F.avg("value").over(w))).withColumn("sd", F.stddev_pop("value").over(w))
     hit = F.count(F.when(F.col("d") > 2 * F.col("sd"), 1))
-    return z.groupBy("sid").agg(hit.alias("outliers"), rnd(hit / F.count(F.lit(1)), 4).alias("fraction"), F.max_by("pos", F.struct("d", -POS)).alias("extreme_pos"))
+    return z.groupBy("sid").agg(hit.alias("outliers"), rnd(hit / F.count(F.lit(1)), 4).alias("fraction"), F.max_by("pos", F.struct("d", -POS())).alias("extreme_pos"))
 
 
 @query(SERIES_SQL + """, q AS (SELECT sid, least(pos // greatest(n // 4, 1), 3) AS q, avg(value) AS m FROM s GROUP BY ALL)
@@ -225,7 +229,7 @@ def chunk_above_proportion(spark, sf_dir):
 
 @query(SERIES_SQL + ", q AS (SELECT sid, avg(value) FILTER (pos < n // 4) AS a, avg(value) FILTER (pos >= n // 4 AND pos < 3 * (n // 4)) AS b, avg(value) FILTER (pos >= 3 * (n // 4)) AS c FROM s GROUP BY sid) SELECT sid, abs(a - c) < 15 AND abs(b - (a + c) / 2) > 5 AS recovered FROM q")
 def symmetric_recovery(spark, sf_dir):
-    q = series(spark, sf_dir).groupBy("sid").agg(_avg(_Q1).alias("a"), _avg((POS >= QUARTER) & (POS < 3 * QUARTER)).alias("b"), _avg(_Q4).alias("c"))
+    q = series(spark, sf_dir).groupBy("sid").agg(_avg(_Q1()).alias("a"), _avg((POS() >= QUARTER()) & (POS() < 3 * QUARTER())).alias("b"), _avg(_Q4()).alias("c"))
     return q.select("sid", ((F.abs(F.col("a") - F.col("c")) < 15) & (F.abs(F.col("b") - (F.col("a") + F.col("c")) / 2) > 5)).alias("recovered"))
 
 
