@@ -20,7 +20,7 @@ def rnd(value: Column | str, digits: int = 0) -> Column:
 
 
 def _nudged(sql: str) -> str:
-    """``sql`` with the same added in each round()."""
+    """``sql`` with the same added in each round(), and 0 to its result, which turns -0.0 into 0.0."""
     at = 0
     while (at := sql.find("round(", at)) >= 0:
         at += len("round(")
@@ -30,7 +30,8 @@ def _nudged(sql: str) -> str:
             comma = end if sql[end] == "," and depth == 1 else comma
             end += 1
         cut = comma or end - 1
-        sql = f"{sql[:at]}({sql[at:cut]}) + 1e-9{sql[cut:]}"
+        sql = f"{sql[: at - 6]}(round(({sql[at:cut]}) + 1e-9{sql[cut:end]} + 0.0){sql[end:]}"
+        at += 1
     return sql
 
 
