@@ -40,8 +40,8 @@ def test_query_equals_sql(spark, duck, name):
     assert a == b
 
 
-def test_every_query_has_sql():
-    assert set(catalog.queries()) == set(catalog.oracle_sql())
+def test_every_query_has_sql_or_a_test():
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"karmarkar_karp"}  # tested below
 
 
 def test_rounding_nudge_goes_before_the_digits():
@@ -54,3 +54,36 @@ def test_parsers(spark):
     rows = [("<think>answer: 1\nVerdict: no</think>yes 3.5",), ("nothing",), (None,)]
     got = spark.createDataFrame(rows, "t string").select(text.answer_line(text.think(F.col("t"))).alias("a"), text.first_number(text.without_think(F.col("t"))).alias("n")).collect()
     assert [tuple(r) for r in got] == [("no", 3.5), (None, None), (None, None)]
+
+
+@pytest.mark.parametrize("lengths", [[], [5], [8, 7, 6, 5, 4], [9] * 10, [100, 1, 1, 1, 1, 1], [0, 0, 3]])
+def test_differencing_is_near_the_best(lengths):
+    import itertools
+
+    from tidegrove.operators.balancing import differencing
+
+    got = differencing(lengths, 2)
+    sums = lambda parts: [sum(n for n, p in zip(lengths, parts, strict=True) if p == k) for k in (0, 1)]
+    best = min((max(sums(p)) for p in itertools.product((0, 1), repeat=len(lengths))), default=0)
+    assert len(got) == len(lengths) and sum(sums(got)) == sum(lengths) and max(sums(got)) <= 7 / 6 * best
+
+
+def test_every_document_is_dealt(spark):
+    got = catalog.queries()["karmarkar_karp"](spark, DIR).toPandas()
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").toPandas()
+    assert sorted(got["doc_id"]) == sorted(docs["doc_id"])
+    for _, batch in got.groupby("batch"):
+        sums = batch.groupby("part")["n_chars"].sum()
+        assert sums.max() <= max(batch["n_chars"].max(), batch["n_chars"].sum() / 8 * 7 / 6)
+
+
+def test_score_parts(spark):
+    from pyspark.sql import functions as F
+
+    from tidegrove.functions import scoring as S
+
+    rows = [("a, b", "b,a", ["x"], ["x"]), ("3", "3.001", ["x", "y", "z"], ["x"]), (None, "1", None, ["x"]), ("q", None, ["x"], []), ("u", "v", [], []), ("1e", "2", ["y"], ["x"])]
+    d = spark.createDataFrame(rows, "p string, g string, a array<string>, b array<string>")
+    got = d.select(S.enumeration_verdict(F.col("p"), F.col("g")).alias("e"), F.round(S.set_verdict(F.col("a"), F.col("b")), 4).alias("s")).collect()
+    assert [r["e"] for r in got] == [1.0, 1.0, 0.05, 1.0, 0.0, 0.0]
+    assert [r["s"] for r in got] == [1.0, 0.4, 0.05, 0.0, 1.0, 0.0]
