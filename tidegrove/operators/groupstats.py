@@ -99,10 +99,10 @@ def validation_metrics(spark, sf_dir):
     return l.groupBy("k").agg(rnd(F.avg("m"), 4).alias("mean"), rnd(F.avg("sd"), 4).alias("std"), F.count(F.lit(1)).alias("groups"))
 
 
-@query("SELECT l_orderkey AS g, l_linenumber AS i, l_partkey AS p, round(sum(l_discount) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC ROWS UNBOUNDED PRECEDING), 4) AS ret FROM lineitem")
+@query("SELECT l_orderkey AS g, l_linenumber AS i, l_partkey AS p, round(sum(l_discount) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_discount DESC ROWS UNBOUNDED PRECEDING), 4) AS ret FROM lineitem")
 def remax_returns(spark, sf_dir):
-    """Sums from each step to the end."""
-    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_linenumber"), F.desc("l_partkey"), F.desc("l_suppkey")).rowsBetween(Window.unboundedPreceding, 0)
+    """Sums from each step to the end; steps that agree in all keys are taken by their reward."""
+    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_linenumber"), F.desc("l_partkey"), F.desc("l_suppkey"), F.desc("l_discount")).rowsBetween(Window.unboundedPreceding, 0)
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("i"), F.col("l_partkey").alias("p"), rnd(F.sum("l_discount").over(w), 4).alias("ret"))
 
 
