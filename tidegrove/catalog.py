@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import registry
 from .functions import scoring, text  # noqa: F401
-from .operators import algebra, balancing, cross, generators, groupstats, resampling, sampling, segments, series  # noqa: F401
+from .operators import algebra, balancing, cross, generators, groupstats, held_out, resampling, sampling, segments, series  # noqa: F401
 from .plans import reports  # noqa: F401
 from .sources import files  # noqa: F401
 from .streaming import growth  # noqa: F401

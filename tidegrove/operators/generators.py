@@ -48,12 +48,12 @@ def attributes(ids: DataFrame) -> DataFrame:
     )
 
 
-def points(made: DataFrame) -> DataFrame:
-    """(sid, pos, value) of each series described in ``made``."""
+def points(made: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(sid, pos, value) of each series described in ``made``, and the attributes to keep."""
     p = made.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"))
     trend = F.col("first") + (F.col("last") - F.col("first")) * F.col("pos") / (F.col("n") - 1)
     season = F.col("amplitude") * wave(F.col("wave"), F.col("pos") / F.col("period"))
-    return p.select("sid", "pos", rnd(trend + season + F.col("noise") * F.col("amplitude") * normal("point", "sid", "pos"), 4).alias("value"))
+    return p.select("sid", "pos", *keep, rnd(trend + season + F.col("noise") * F.col("amplitude") * normal("point", "sid", "pos"), 4).alias("value"))
 
 
 def derive_trend(first: Column, last: Column, low: Column, high: Column) -> Column:
