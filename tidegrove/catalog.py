@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import registry
-from .functions import scoring, text  # noqa: F401
-from .operators import algebra, balancing, comparisons, cross, enumerations, generators, groupstats, held_out, resampling, sampling, segments, series  # noqa: F401
-from .plans import reports  # noqa: F401
+from .functions import evidence, reasoning, scoring, text  # noqa: F401
+from .operators import algebra, balancing, comparisons, cross, enumerations, generators, groupstats, held_out, local_changes, resampling, sampling, segments, series  # noqa: F401
+from .plans import inference, reports, texts  # noqa: F401
 from .sources import files  # noqa: F401
 from .streaming import growth  # noqa: F401
 
