@@ -227,6 +227,58 @@ def test_leaks_found_and_clean_kept(spark):
     assert decontaminate.find_leaks(d.limit(0), bench).count() == 0
 
 
+def test_leaks_equal_brute_force():
+    """Every word-for-word copy, planted paraphrases, and whatever else matches on the grid of windows, with a basis that
+    is of no use, so that no leak may depend on its cosine being high."""
+    import pyarrow as pa
+
+    d, r = decontaminate, random.Random(3)
+    item_texts = [" ".join(r.choice(VOCABULARY) for _ in range(n)) for n in (1, 3, 15, 17, 30, 38, 59, 70)]
+    texts = ["", *(prose(400, 300 + k) for k in range(20))]
+    for t in item_texts:
+        for k in (0, 5, 8, 13):
+            w = t.split()
+            for j in range(6, len(w) if k else 0, 6):
+                w[j] = "other"
+            texts.append(f"{prose(64 + k, k)} {' '.join(w)} {prose(90, k + 1)}")
+    (found,) = (words(x, True) for x in slices(pa.array(texts), 1 << 30))
+    (asked,) = (words(x, True) for x in slices(pa.array(item_texts), 1 << 30))
+    latent = np.random.default_rng(2).standard_normal((d.FEATURES, 8)).astype(np.float32)
+    items = d.Items([(i, asked.hashes[asked.first[i] : asked.first[i + 1]]) for i in range(len(item_texts))], latent)
+
+    def leaks(item, window):
+        lcs, answer = items.check(item, window.tolist())
+        return lcs >= d.LCS or lcs >= d.LCS_LOOSE and answer >= d.ANSWER
+
+    want, bound = set(), []
+    for i in range(len(item_texts)):
+        n = len(items.items[i][1])
+        for t in range(len(texts)):
+            for at in range(found.first[t], found.first[t + 1], d.STEP):
+                lo, hi = max(found.first[t], at - d.STEP), min(found.first[t + 1], at + n + 2 * d.STEP)
+                a, b = collections.Counter(items.items[i][1].tolist()), collections.Counter(found.hashes[lo:hi].tolist())
+                bound.append((i, lo, hi, (a & b).total()))
+                if leaks(i, found.hashes[lo:hi]):
+                    want.add((i, t))
+    i, lo, hi, shared = map(np.array, zip(*bound, strict=True))
+    assert items.shared_words(items.numbers(found.hashes), i, lo, hi).tolist() == shared.tolist()
+    got = {(i, t) for i, t, _, lo, hi, _ in items.candidates(found, 1.1) if leaks(i, found.hashes[lo:hi])}
+    planted = {(k, 21 + 4 * k + j) for k in range(len(item_texts)) for j in range(4)}
+    assert planted <= got <= want
+    assert {(i, t) for i, t, _, lo, hi, _ in items.candidates(found, -1.1) if leaks(i, found.hashes[lo:hi])} == want
+
+
+def test_leaks_of_the_table(spark):
+    """Every place of sf0.1 where a document holds a whole item word for word, found by comparing texts."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "benchmark"))
+    plain = lambda t: f" {b' '.join((t or '').encode().lower().split()).decode()} "
+    texts = {r["doc_id"]: plain(r["text"]) for r in docs.select("doc_id", "text").collect()}
+    items = {r["item_id"]: plain(r["text"]) for r in bench.collect() if (r["text"] or "").split()}
+    want = {(d, i) for d, t in texts.items() for i, x in items.items() if x in t}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert len(want) > 200 and want <= got
+
+
 def test_common_subsequence():
     for _ in range(50):
         a, b = [rng.randint(0, 5) for _ in range(rng.randint(1, 12))], [rng.randint(0, 5) for _ in range(rng.randint(0, 15))]
