@@ -159,6 +159,17 @@ def test_simhash_equals_brute_force(spark, docs, empty):
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted({r["component_id"] for r in rows})
 
 
+def test_dedup_tells_rows_of_one_id_apart(spark):
+    """One doc_id, or none, on many unrelated texts; exact copies under shared, other and missing ids."""
+    texts = [prose(120, 700 + k) for k in range(12)]
+    rows = [(7, t, "a") for t in texts[:5]] + [(None, t, "a") for t in texts[5:9]] + [(k, texts[k], "a") for k in (9, 10, 11)]
+    rows += [(7, texts[0], "a"), (3, texts[1], "a"), (7, texts[10], "a"), (None, texts[5], "a"), (None, texts[2], "a"), (None, "", "a"), (None, None, "a"), (7, texts[6], "a")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string, fp string").repartition(3))
+    got = [(r["doc_id"], r["text"] or "") for r in kept.collect()]
+    want = [(7, texts[0]), (3, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[4]), (None, texts[5]), (7, texts[6]), (None, texts[7]), (None, texts[8]), (9, texts[9]), (7, texts[10]), (11, texts[11]), (None, "")]
+    assert kept.columns == ["doc_id", "text", "fp"] and sorted(got, key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("block", [8, 1 << 15])
 def test_links_with_blocks(spark, block):
     r = np.random.default_rng(1)
@@ -279,6 +290,15 @@ def test_leaks_of_the_table(spark):
     assert len(want) > 200 and want <= got
 
 
+def test_leaks_drop_rows_not_ids(spark):
+    item = " ".join(random.Random(900).choice(VOCABULARY) for _ in range(38))
+    rows = [(k, prose(60, 910 + j) + (f" {item} " if j == 2 else " ") + prose(20, 920 + j), j) for k in (None, 4) for j in range(5)]
+    d = spark.createDataFrame([*rows, (None, None, 9)], "doc_id bigint, text string, c0 int")
+    kept = decontaminate.without_leaks(d, spark.createDataFrame([(1, item)], "item_id bigint, text string"))
+    assert kept.columns == d.columns
+    assert sorted((str(r["doc_id"]), r["c0"]) for r in kept.collect()) == [(k, j) for k in ("4", "None") for j in (0, 1, 3, 4, *([9] if k == "None" else []))]
+
+
 def test_common_subsequence():
     for _ in range(50):
         a, b = [rng.randint(0, 5) for _ in range(rng.randint(1, 12))], [rng.randint(0, 5) for _ in range(rng.randint(0, 15))]

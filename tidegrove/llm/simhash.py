@@ -65,6 +65,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
 
+def _keyed_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        (found,) = _fingerprints([batch.select([0, 2])])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found.column(1)], ["doc_id", "k_text", "fp"])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) for every row; fp holds the 64 bits as a long."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -190,26 +196,39 @@ def near_links(spark: SparkSession, values: DataFrame, block: int = BLOCK) -> Da
     return keyed.groupBy("xp", "xk", "yp", "yk").applyInPandas(_walk_group(top), "a bigint, b bigint")
 
 
+def _roots(marks: DataFrame) -> DataFrame:
+    """(fp, least, root) for each distinct fingerprint of ``marks``: its least doc_id, and its component's fingerprint."""
+    least = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    roots = components(near_links(marks.sparkSession, least.select("fp")))
+    known = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return cut(known, "simhash-root")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id), one row for each row of ``docs``."""
-    spark = docs.sparkSession
     marks = cut(fingerprints(docs, id_col, text_col), "simhash-fp")
-    least = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(near_links(spark, least.select("fp")))
-    known = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    known = cut(known, "simhash-root")
+    known = _roots(marks)
     heads = known.groupBy("root").agg(F.min("least").alias("component_id"))
     named = known.join(heads, "root").select("fp", "component_id")
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's; of rows that share that doc_id, one. Rows without a doc_id
-    stay, as none of them can stand for another. The join is by sorted shuffle at every size, so that disk and time grow
-    with the input alone."""
-    found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("same"))
-    keep = cut(keep, "simhash-keep")
-    single = docs.join(keep.where("same = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")
-    several = docs.join(keep.where("same > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(several).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One row of each component, that with the least doc_id, a null one last, then the least SHA-256 of the text; of
+    rows that share both, one. Rows that share a doc_id, or have none, are told apart by their texts. The join is by
+    sorted shuffle at every size, so that disk and time grow with the input alone."""
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names may clash
+    own, text = (plain[f"c{docs.columns.index(n)}"] for n in ("doc_id", "text"))
+    key = [own.cast("bigint").alias("k_id"), F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)).alias("k_text")]
+    marks = plain.select(*key, text.cast("string").alias("text")).mapInArrow(_keyed_fingerprints, "doc_id bigint, k_text binary, fp bigint")
+    marks = cut(marks, "simhash-fp")
+    known = _roots(marks)
+    rows = marks.groupBy("fp", "doc_id", "k_text").agg(F.count(F.lit(1)).alias("same"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k_text", "same"))  # a key's count goes with it
+    keep = rows.join(known.select("fp", "root"), "fp").groupBy("root").agg(best.alias("b"))
+    keep = cut(keep.select(F.col("b.doc_id").alias("b_id"), F.col("b.k_text").alias("b_text"), "b.same"), "simhash-keep")
+    rows = plain.select("*", *key)
+    elected = F.col("k_id").eqNullSafe(F.col("b_id")) & (F.col("k_text") == F.col("b_text"))
+    single = rows.join(keep.where("same = 1").hint("merge"), elected, "left_semi")
+    several = rows.join(keep.where("same > 1"), elected, "left_semi").dropDuplicates(["k_id", "k_text"])
+    return single.unionByName(several).select(*plain.columns).toDF(*docs.columns)
