@@ -63,7 +63,6 @@ def covered(sums: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
 def measure(texts: W.Texts) -> dict[str, np.ndarray]:
     """All measures of some texts, one value for each text."""
     data, bounds = texts.data, texts.offsets
-    byte_sums = W.running(data)
     starts, ends = W.spans(data, bounds)
     first = np.searchsorted(starts, bounds)
     text = W.owner(first)
@@ -76,7 +75,7 @@ def measure(texts: W.Texts) -> dict[str, np.ndarray]:
         "n_symbols": W.per_text(_SYMBOL[data], bounds),
     }
     sums = np.zeros(len(starts) + 1, np.uint64)
-    np.cumsum(W.span_hash(byte_sums, starts, ends) * W.powers(len(starts), _STEP), out=sums[1:])
+    np.cumsum(W.span_hash(data, starts, ends) * W.powers(len(starts), _STEP), out=sums[1:])
     for n in NGRAM_LIMITS:
         hit = covered(sums, text, n)
         if n == BASE_WINDOW:
@@ -91,7 +90,7 @@ def measure(texts: W.Texts) -> dict[str, np.ndarray]:
     full = chars[stop] > chars[begin]  # a line without a word counts nowhere
     begin, stop = begin[full], stop[full]
     line_text = np.searchsorted(bounds, begin, "right") - 1
-    keys = W.span_hash(byte_sums, begin, stop) ^ W.mix(line_text.astype(np.uint64) + np.uint64(1))
+    keys = W.span_hash(data, begin, stop) ^ W.mix(line_text.astype(np.uint64) + np.uint64(1))
     later = repeated(keys)[1]
     of = lambda v: np.bincount(line_text, v, len(bounds) - 1).astype(np.int64)
     out |= {"n_lines": of(np.ones(len(begin))), "n_dup_lines": of(later), "dup_line_chars": of(np.where(later, chars[stop] - chars[begin], 0))}

@@ -1,8 +1,9 @@
 """Words of many texts at once, as numpy arrays over Arrow's own buffers.
 
-A word is a longest run of bytes other than 0x20 and 0x09 to 0x0D. Its hash is a polynomial in the bytes modulo
-2**64, read off a running sum, so that no Python string is made per word. Two words get the same hash by chance
-with probability 2**-64 or so.
+A word is a longest run of bytes other than 0x20 and 0x09 to 0x0D. Its hash chains its bytes, eight at a time, through a
+mixing function that isn't linear, so that no Python string is made per word and no structure of the text (repeats,
+complements) makes hashes equal. Two given words get the same hash with a probability of about 2**-64, unless someone
+makes them for it.
 """
 
 from __future__ import annotations
@@ -12,9 +13,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh64_intdigest
 
-_BASE = 0x5851F42D4C957F2D
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,7 +28,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Spans of more bytes are hashed one by one.
+LONG = 128
+#: Masks of the first 0 to 8 bytes of eight.
+_FRONT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -36,7 +39,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
-def powers(n: int, base: int = _BASE) -> np.ndarray:
+def powers(n: int, base: int) -> np.ndarray:
     """base**0 to base**(n-1) modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
@@ -83,18 +86,27 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
-def running(data: np.ndarray) -> np.ndarray:
-    """The running sum from which ``span_hash`` takes the hash of any span of bytes."""
-    out = np.empty(len(data) + 1, np.uint64)
-    out[0] = 0
-    np.cumsum(_VALUE[data] * powers(len(data)), out=out[1:])
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each span of bytes. Spans of up to ``LONG`` bytes are read eight bytes at a time, all of them at once,
+    and each eight go through ``mix`` with what came before; longer ones are hashed one by one with XXH64."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + np.uint64(1))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))  # the eight bytes from each place on
+    lane, todo = 0, np.flatnonzero((size > 0) & (size <= LONG))
+    while len(todo):
+        at = starts[todo] + lane
+        out[todo] = mix(out[todo] ^ mix(eights[at] & _FRONT[np.minimum(ends[todo] - at, 8)]))
+        lane += 8
+        todo = todo[size[todo] > lane]
+    far = np.flatnonzero(size > LONG)
+    if len(far):
+        raw = data.tobytes()
+        out[far] = [xxh64_intdigest(raw[a:b], 42) for a, b in zip(starts[far].tolist(), ends[far].tolist(), strict=True)]
     return out
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix((sums[ends] - sums[starts]) * powers(len(sums), _INVERSE)[starts])
-
-
 def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where words start and end. No word reaches over the border of two texts."""
     blank = np.ones(len(data) + 1, bool)
@@ -113,7 +125,7 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def words(texts: Texts, lower: bool) -> Words:
     data = _LOWER[texts.data] if lower else texts.data
     starts, ends = spans(data, texts.offsets)
-    return Words(starts, ends, span_hash(running(data), starts, ends), np.searchsorted(starts, texts.offsets))
+    return Words(starts, ends, span_hash(data, starts, ends), np.searchsorted(starts, texts.offsets))
 
 
 def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
