@@ -7,8 +7,8 @@ tokens belongs to each of them. So the counts of parts that tile a text add up t
 
 Parts are the lines of the text, each with its line feed, or spans given by a column.
 
-Defined cases: a null or empty text has no lines and no rows; given spans are cut to the text, empty ones count 0, and
-tokens in no span count nowhere; rows that repeat a doc_id get rows each; a null doc_id is kept as null; an empty
+Defined cases: a null or empty text has no lines and no rows; given spans are cut to the text and sorted, of overlapping
+ones the earlier keeps the characters that it shares with later ones, empty ones count 0, and tokens in no span count nowhere; rows that repeat a doc_id get rows each; a null doc_id is kept as null; an empty
 table gives an empty one.
 """
 
@@ -37,7 +37,12 @@ def token_spans(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def allocate(first: np.ndarray, end: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of each part, and how many of them lie over its border. Parts are sorted and apart."""
+    """Tokens of each part, and how many of them lie over its border. Parts are sorted and apart; empty ones get none."""
+    full = hi > lo
+    if not full.all():
+        out = np.zeros((2, len(lo)), np.int64)
+        out[:, full] = allocate(first, end, lo[full], hi[full])
+        return out[0], out[1]
     n = len(lo)
     counts, crossing = np.zeros(n, np.int64), np.zeros(n, np.int64)
     if not n or not len(first):
@@ -65,7 +70,7 @@ def line_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
 def _given(spans: list[dict] | None, size: int) -> tuple[np.ndarray, np.ndarray]:
     pairs = sorted((min(max(s["start"] or 0, 0), size), min(max(s["end"] or 0, 0), size)) for s in spans or [] if s)
     lo, hi = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-    lo[1:] = np.maximum(lo[1:], hi[:-1])  # overlapping spans: the earlier keeps its characters
+    lo[1:] = np.maximum(lo[1:], np.maximum.accumulate(hi)[:-1])  # overlapping spans: the earlier keeps its characters
     return lo, np.maximum(lo, hi)
 
 
@@ -77,19 +82,22 @@ def attribute_tokens(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                ids, out = part.column(0).to_pylist(), []
+                parts, n_parts, doc_tokens = [], np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
                 given = part.column(2).to_pylist() if spans_col else [None] * len(part)
-                for key, raw, spans in zip(ids, part.column(1).cast(pa.binary()), given, strict=True):
+                for k, (raw, spans) in enumerate(zip(part.column(1).cast(pa.binary()), given, strict=True)):
                     text = raw.as_py().decode("utf-8", "replace") if raw.is_valid else ""
                     sizes = own.sizes[own.encode(text)]
                     lo, hi = _given(spans, len(text)) if spans_col else line_spans(text)
                     if not len(lo):
                         continue
-                    counts, crossing = allocate(*token_spans(text.encode("utf-8", "replace"), sizes), lo, hi)
-                    n = len(lo)
-                    out.append(pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), *map(pa.array, (np.arange(n), lo, hi, counts, crossing, np.full(n, len(sizes))))], [x.split()[0] for x in SCHEMA.split(", ")]))
-                if out:
-                    yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+                    parts.append((lo, hi, *allocate(*token_spans(text.encode("utf-8", "replace"), sizes), lo, hi)))
+                    n_parts[k], doc_tokens[k] = len(lo), len(sizes)
+                if parts:
+                    own_row = np.repeat(np.arange(len(part)), n_parts)
+                    number = np.arange(len(own_row)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
+                    lo, hi, counts, crossing = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    cols = [part.column(0).take(pa.array(own_row)), *map(pa.array, (number, lo, hi, counts, crossing, doc_tokens[own_row]))]
+                    yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SCHEMA.split(", ")])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.col(spans_col).alias("spans")] if spans_col else []))
     return rows.mapInArrow(run, SCHEMA)
