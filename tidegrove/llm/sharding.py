@@ -7,7 +7,8 @@ that it moves. The map at a version has each slot's last edit up to it. Rebalanc
 over goes, largest first, to the shard with the least.
 
 Defined cases: a null text has no bytes (size 1) and the CRC of the empty text, 0; a null doc_id is hashed as null;
-rows that repeat a doc_id and a text share a slot and get positions of their own; an empty table gives an empty one.
+rows that repeat a doc_id and a text can't be told apart, so they are counted, and as many are dealt out again, each with
+its own number and slot: a third of all rows may be equal and still spread evenly. An empty table gives an empty one.
 Columns besides the id and the text are never read.
 """
 
@@ -19,13 +20,22 @@ from pyspark.sql import functions as F
 from .shared import cut, new_dir
 
 SLOTS = 4096
+#: Equal rows that one task deals out.
+EQUAL = 1 << 16
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, vslot) of every row."""
+    """(doc_id, size, text_crc32, copy, vslot) of every row; copy numbers equal rows."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return rows.withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    key = ["doc_id", "size", "text_crc32"]
+    counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("same"))
+    # groups of very many equal rows are cut into stretches, and those dealt over the tasks, before they are dealt out
+    many = counted.where(F.col("same") > EQUAL).withColumn("lo", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("same") - 1, F.lit(EQUAL).cast("bigint"))))
+    many = many.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key, "lo")
+    few = counted.where(F.col("same") <= EQUAL).withColumn("lo", F.lit(0).cast("bigint"))
+    every = few.unionByName(many).withColumn("copy", F.explode(F.sequence(F.col("lo"), F.least(F.col("same"), F.col("lo") + EQUAL) - 1)))
+    return every.select(*key, "copy", F.pmod(F.xxhash64("doc_id", "text_crc32", "copy"), F.lit(slots)).cast("int").alias("vslot"))
 
 
 def slot_sizes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -69,7 +79,7 @@ def assign(rows: DataFrame, edits: DataFrame, version: int, sizes: DataFrame) ->
     by doc_id. A record is numbered within its virtual slot, and the places before it are counted over slots."""
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     places = map_at(edits, version).join(sizes, "vslot").withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    within = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
+    within = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size", "copy")
     placed = rows.withColumn("k", F.row_number().over(within)).join(F.broadcast(places.select("vslot", "shard", "before")), "vslot")  # SLOTS rows
     return placed.withColumn("slot", (F.col("before") + F.col("k") - 1).cast("bigint"))
 
@@ -77,7 +87,7 @@ def assign(rows: DataFrame, edits: DataFrame, version: int, sizes: DataFrame) ->
 def shard_documents(docs: DataFrame, shards: int = 16, slots: int = SLOTS) -> DataFrame:
     """Every record with its shard after one rebalancing by bytes, under the law ``bytes``."""
     spark = docs.sparkSession
-    rows = records(docs, slots)
+    rows = cut(records(docs, slots), "shard-records")
     sizes = cut(slot_sizes(rows, slots), "shard-sizes")
     path = new_dir(spark, "shard-map")
     first_map(spark, shards, slots).coalesce(1).write.partitionBy("version").parquet(path)
