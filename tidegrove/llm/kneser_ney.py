@@ -21,6 +21,7 @@ empty table gives an empty one.
 
 from __future__ import annotations
 
+import mmap
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ from .shared import cut, mappable, new_dir, write_file
 END, START = np.uint64(0xE5D0000000000001), np.uint64(0x57A2000000000001)
 #: Bigrams that a task holds before it sorts and sends them; documents a bucket.
 HOLD, DOCS_A_BUCKET = 3_000_000, 2000
+#: Tasks that merge buckets, as a power of two; a task takes its buckets one after the other.
+TASK_BITS = 14
 SAMPLE_DOCS, HOT = 512, 256
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 
@@ -104,7 +107,14 @@ def _runs(ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _small(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint8) if len(x) == 0 or x.max() < 256 else x.astype(np.uint32)
+    return x.astype(np.uint8) if len(x) == 0 or x.max() < 256 else _u32(x)
+
+
+def _u32(x: np.ndarray) -> np.ndarray:
+    """Counts as they are stored; one that doesn't fit stops the job instead of wrapping round."""
+    if len(x) and x.max() >= 1 << 32:
+        raise OverflowError("a count is over 32 bits")
+    return x.astype(np.uint32)
 
 
 _BIGRAM_ROWS = "bucket int, ctx binary, run binary, word binary, n binary, wide boolean"
@@ -164,7 +174,7 @@ def _merge_bigrams(layout: Layout, folder: str):
         del parts
         key = layout.keys(ctx, word)[1]
         order = np.argsort(key)
-        write_file(f"{folder}/pair-{bucket}", [key[order].tobytes(), n[order].astype(np.uint32).tobytes()])
+        write_file(f"{folder}/pair-{bucket}", [key[order].tobytes(), _u32(n[order]).tobytes()])
         at = np.flatnonzero(np.append(True, ctx[1:] != ctx[:-1]))
         follow = [np.add.reduceat((n == k) if k < 3 else (n >= 3), at, dtype=np.int64) for k in (1, 2, 3)]
         order = np.argsort(word, kind="stable")
@@ -173,7 +183,7 @@ def _merge_bigrams(layout: Layout, folder: str):
         stats = [int((n == k).sum()) for k in (1, 2, 3, 4)] + [len(n), int(n.sum())]
         out = [(-1, "stats", b"", b"", b"", b"", b"", stats)]
         for kind, words, cols in (("context", ctx[at], follow), ("word", w[wat], [np.add.reduceat(c, wat), np.diff(np.append(wat, len(w)))])):
-            buckets, packed = _pack(layout.bucket(words), [words, *(x.astype(np.uint32) for x in cols)])
+            buckets, packed = _pack(layout.bucket(words), [words, *map(_u32, cols)])
             packed += [[b""] * len(buckets)] * (5 - len(packed))
             out += [(int(b), kind, *row, None) for b, *row in zip(buckets, *packed, strict=True)]
         kinds = [pa.int32(), pa.string(), *[pa.binary()] * 5, pa.list_(pa.int64())]
@@ -195,7 +205,7 @@ def _merge_words(folder: str):
             none = np.zeros(len(word), np.int64)
             parts.append((word, *(cols[:2] + [none] * 3 if kind == "word" else [none] * 2 + cols)))
         word, c, before, n1, n2, n3 = merge(parts, 1)
-        write_file(f"{folder}/word-{table.column('wbucket')[0].as_py()}", [word.tobytes(), c.tobytes(), *(x.astype(np.uint32).tobytes() for x in (before, n1, n2, n3))])
+        write_file(f"{folder}/word-{table.column('wbucket')[0].as_py()}", [word.tobytes(), c.tobytes(), *(_u32(x).tobytes() for x in (before, n1, n2, n3))])
         known = word[c > 0]
         stats = [len(known), int(c.sum()), int(before.sum()), *(int((before == k).sum()) for k in (1, 2, 3, 4))]
         return pa.table([pa.array([stats], pa.list_(pa.int64()))], ["stats"])
@@ -223,16 +233,16 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
     folder = new_dir(spark, "kneser-ney")
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
     n_docs = rows.count()
-    bits = min(16, max(4, int(np.ceil(np.log2(max(1, n_docs / DOCS_A_BUCKET))))))
+    bits = min(20, max(4, int(np.ceil(np.log2(max(1, n_docs / DOCS_A_BUCKET))))))
     layout = Layout(bits, _frequent(rows, n_docs))
     packed = rows.mapInArrow(_count(layout), _BIGRAM_ROWS)
-    merged = packed.repartition(1 << min(bits, 11), "bucket").groupBy("bucket").applyInArrow(_merge_bigrams(layout, folder), _WORD_ROWS)
+    merged = packed.repartition(1 << min(bits, TASK_BITS), "bucket").groupBy("bucket").applyInArrow(_merge_bigrams(layout, folder), _WORD_ROWS)
     merged = cut(merged, "kneser-ney-stats")
     n1, n2, n3, n4, types, total = _sum_stats(merged.where("kind = 'stats'"), 6)
-    by_word = merged.where("kind <> 'stats'").drop("stats", "d").repartition(1 << min(bits, 11), "wbucket")
+    by_word = merged.where("kind <> 'stats'").drop("stats", "d").repartition(1 << min(bits, TASK_BITS), "wbucket")
     done = cut(by_word.groupBy("wbucket").applyInArrow(_merge_words(folder), "stats array<bigint>"), "kneser-ney-words")
     vocab, words, _, u1, u2, u3, u4 = _sum_stats(done, 7)
-    return {"folder": folder, "bits": bits, "hot": layout.hot, "vocab": vocab, "total": words, "types": types, "d2": discounts(n1, n2, n3, n4), "d1": discounts(u1, u2, u3, u4), "counts1": (u1, u2, vocab - u1 - u2)}
+    return {"folder": folder, "n_starts": n_docs, "bits": bits, "hot": layout.hot, "vocab": vocab, "total": words, "types": types, "d2": discounts(n1, n2, n3, n4), "d1": discounts(u1, u2, u3, u4), "counts1": (u1, u2, vocab - u1 - u2)}
 
 
 def _frequent(rows: DataFrame, n_docs: int) -> np.ndarray:
@@ -262,7 +272,8 @@ class Model:
     def _file(self, name: str, kinds: tuple) -> tuple[np.ndarray, ...]:
         if name not in self.files:
             try:
-                raw = np.memmap(mappable(f"{self.spec['folder']}/{name}"), np.uint8, "r")
+                with open(mappable(f"{self.spec['folder']}/{name}"), "rb") as f:  # the map keeps no file open
+                    raw = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), np.uint8)
             except FileNotFoundError:  # a bucket without entries has no file
                 raw = np.zeros(0, np.uint8)
             n = len(raw) // sum(np.dtype(k).itemsize for k in kinds)
@@ -367,6 +378,5 @@ def score_held_out(docs: DataFrame) -> DataFrame:
     """Trains on four fifths of the documents, by the check sum of the id, and scores all of them."""
     learn = docs.where(~is_held_out(F.col("doc_id")))
     spec = train(learn)
-    spec["n_starts"] = learn.count()
     done = score(docs, spec)
     return done.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(spec["total"]).cast("bigint").alias("train_tokens"), "base_score", "score", "perplexity")
