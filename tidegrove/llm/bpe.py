@@ -25,7 +25,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 1 << 15
+#: Characters of a leaf: an ordinary document is a tree of several.
+LEAF = 256
 #: Rows whose ids are held at a time.
 ROWS = 256
 _BREAK = re.compile(r"[^\s\x85\xa0](?=[ \n])")
@@ -80,7 +81,7 @@ class Codec:
         """How many ids from the front make ``size`` bytes."""
         n = 0
         while size:
-            sums = np.cumsum(self.sizes[ids[n : n + 64 + n]])
+            sums = np.cumsum(self.sizes[ids[n : 2 * n + 64]])
             k = int(np.searchsorted(sums, size, "right"))
             n += k
             size -= int(sums[k - 1]) if k else 0
@@ -89,7 +90,7 @@ class Codec:
         return n
 
     def decode(self, ids: np.ndarray) -> bytes:
-        if len(ids) <= self.leaf:
+        if len(ids) <= max(self.leaf, 4096):  # decoding has no borders to mend
             return self.table.decode_bytes(ids.tolist())
         mid = len(ids) // 2
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
