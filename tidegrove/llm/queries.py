@@ -67,7 +67,7 @@ def _quote(text: str) -> str:
 
 
 def _canonical_sql(text: str) -> str:
-    out = f"regexp_replace(regexp_replace(translate({text}, '{licenses._UPPER}', '{licenses._LOWER}'), '(?m)^[ \\t]*(copyright|\\(c\\)|©)[^\\n]*$', '', 'g'), '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+', ' ', 'g')"
+    out = f"regexp_replace(regexp_replace(translate({text}, '{licenses._UPPER}', '{licenses._LOWER}'), '(?m){licenses.COPYRIGHT_LINE}', '', 'g'), '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+', ' ', 'g')"
     out = f"(' ' || {out} || ' ')"
     for a, b in licenses.EQUIVALENT.items():
         out = f"replace({out}, ' {a} ', ' {b} ')"
@@ -75,13 +75,14 @@ def _canonical_sql(text: str) -> str:
 
 
 def license_sql() -> str:
-    known = ", ".join(f"({_quote(d)}, {_quote(n)})" for d, n in sorted(licenses.known_digests().items()))
+    known, stated = (", ".join(f"({_quote(d)}, {_quote(n)})" for d, n in sorted(x.items())) for x in (licenses.known_digests(), licenses.stated_digests()))
     return f"""
 WITH known(digest, license) AS (VALUES {known}),
 docs AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
 whole AS (SELECT r, doc_id, sha256({_canonical_sql('text')}) AS digest FROM docs),
 lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),
-hits AS (SELECT r, k.license FROM lines JOIN known k ON k.digest = sha256({_canonical_sql('line')})),
+stated(digest, license) AS (VALUES {stated}),
+hits AS (SELECT r, k.license FROM lines JOIN stated k ON k.digest = sha256({_canonical_sql('line')})),
 notices AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n FROM hits GROUP BY r)
 SELECT w.doc_id, w.digest, k.license, n.notices, coalesce(n.n, 0)::BIGINT AS n_notice_lines
 FROM whole w LEFT JOIN known k USING (digest) LEFT JOIN notices n USING (r)"""
