@@ -8,7 +8,8 @@ the results back and takes the digest of every payload anew.
 
 Payloads are never shuffled: archives are read where they are converted, and only digests, ids and places of records
 are grouped. Files have names of their own in the shared folder and are found by a table of them that Spark writes, so
-files left by lost or repeated tasks are never read. An archive ends after ``ARCHIVE_BYTES`` of payload.
+files left by lost or repeated tasks are never read. An archive ends after ``ARCHIVE_BYTES`` of records before compression
+or after ``ARCHIVE_RECORDS`` of them, so that empty pages end one too.
 
 Defined cases: a null html is an empty payload; a null url becomes "about:blank", and blanks in urls are escaped; a null
 page_id stays null, and such a record is a response only if no equal payload has an id; of rows that repeat a page_id
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .shared import cut, new_dir, read_file, write_file
 
-ARCHIVE_BYTES = 64 << 20
+ARCHIVE_BYTES, ARCHIVE_RECORDS = 64 << 20, 1 << 16
 # Fixed values of the ARC formats: the fields of a header line by version.
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -84,8 +85,8 @@ def write_arc(pages: DataFrame, folder: str, date: str = "20000101000000") -> Da
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {len(payload)}\r\n\r\n".encode()
                 parts.append(_pack(_arc_line(version, where, "0.0.0.0", date, "text/html", head + payload, size, name)))
                 size += len(parts[-1])
-                raw += len(payload)
-                if raw >= ARCHIVE_BYTES:
+                raw += len(head) + len(payload) + len(where)
+                if raw >= ARCHIVE_BYTES or len(parts) > ARCHIVE_RECORDS:
                     yield close()
                     parts = []
         if parts:
@@ -168,7 +169,7 @@ def convert(files: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
                 target = {c["number"]: c["page"] or "" for c in copies or []}
                 parts = [_pack(_warc("warcinfo", "<urn:uuid:%s>" % uuid.uuid5(_NAMESPACE, archive), "2000-01-01T00:00:00Z", "application/warc-fields", b"software: tidegrove\r\nformat: WARC File Format 1.1\r\n"))]
                 for number, (arc, body) in enumerate(arc_records(_open(archive))):
-                    parts.append(_pack(_from_arc(arc, body, target.get(number), f"{archive}/{number}")))
+                    parts.append(_pack(_from_arc(arc, body, target.get(number), f"{archive}/{number}", min_bytes)))
                 name = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                 write_file(name, parts)
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(parts) - 1], pa.int64())], ["archive", "records"])
@@ -182,15 +183,16 @@ def _warc(kind: str, ident: str, date: str, content_type: str, block: bytes, mor
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def _from_arc(arc: dict[str, str], body: bytes, copy_of: str | None, place: str) -> bytes:
+def _from_arc(arc: dict[str, str], body: bytes, copy_of: str | None, place: str, min_bytes: int = 0) -> bytes:
     """The WARC record for an ARC record. copy_of: the page whose response holds the same payload; place: the record's
-    archive and number."""
+    archive and number, from which records that no revisit can refer to have their identifiers."""
     head, payload, fields = _http(body)
     d, digest, page = arc["Archive-date"].ljust(14, "0"), base32_sha1(payload), fields.get("x-page-id", "")
     date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
     more = [("WARC-Target-URI", arc["URL"]), ("WARC-IP-Address", arc["IP-address"]), ("WARC-Payload-Digest", f"sha1:{digest}")]
     if copy_of is None:
-        return _warc("response", _record_id(page, digest), date, "application/http;msgtype=response", body, tuple(more))
+        own = _record_id(page, digest) if len(payload) >= min_bytes else f"<urn:uuid:{uuid.uuid5(_NAMESPACE, place)}>"
+        return _warc("response", own, date, "application/http;msgtype=response", body, tuple(more))
     more += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", _record_id(copy_of, digest))]
     return _warc("revisit", f"<urn:uuid:{uuid.uuid5(_NAMESPACE, place)}>", date, "application/http;msgtype=response", head, tuple(more))
 
