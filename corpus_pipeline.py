@@ -9,7 +9,7 @@ from __future__ import annotations
 from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrove.llm import bpe, decontaminate, quality, simhash
+from tidegrove.llm import bpe, decontaminate, near_copies, quality
 from tidegrove.llm.queries import RANKS
 from tidegrove.llm.shared import cut
 
@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates, that with the smallest doc_id; rows of one doc_id are told apart."""
-    return simhash.one_of_each(docs)
+    return near_copies.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
