@@ -32,7 +32,7 @@ from .shared import cut
 
 BUDGET, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints of one prefix that one task holds of each side.
-BLOCK = 1 << 15
+BLOCK = 1 << 17
 #: Pairs of nodes with so many pairs of fingerprints or fewer are compared outright; pairs of nodes held at a time.
 OUTRIGHT, CHUNK = 64, 1 << 17
 
@@ -65,12 +65,6 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
 
-def _keyed_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        (found,) = _fingerprints([batch.select([0, 2])])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found.column(1)], ["doc_id", "k_text", "fp"])
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) for every row; fp holds the 64 bits as a long."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -173,22 +167,17 @@ def near_links(spark: SparkSession, values: DataFrame, block: int = BLOCK) -> Da
     """``values`` has distinct longs in ``fp``. Returns edges (a, b) that connect exactly the fingerprints that chains
     of pairs within the budget connect."""
     n = values.count()
+    # so deep that a prefix has about a block; from 2**33 fingerprints on a prefix has several
     depth = min(16, max(4, math.ceil(math.log2(max(1, n / block)))))
     top = 64 - depth
     prefix = F.shiftrightunsigned("fp", top).cast("int")
     # one row for each prefix: at most 2**16, whatever the input
-    counts = values.groupBy(prefix.alias("prefix")).count()
-    heavy = {r["prefix"]: -(-r["count"] // block) for r in counts.where(F.col("count") > 2 * block).collect()}
-    blocks = F.lit(1)
-    if heavy:
-        blocks = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in heavy.items() for x in kv)), F.col("p")), F.lit(1))
-        other = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in heavy.items() for x in kv)), F.col("q")), F.lit(1))
-    else:
-        other = F.lit(1)
+    blocks = values.groupBy(prefix.alias("p")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    other = blocks.select(F.col("p").alias("q"), F.col("blocks").alias("others"))
     near = [m for m in range(1 << depth) if m.bit_count() <= BUDGET]
-    rows = values.select("fp", prefix.alias("p")).withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
+    rows = values.select("fp", prefix.alias("p")).join(F.broadcast(blocks), "p").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     rows = rows.select("fp", "p", "own", F.explode(F.array(*map(F.lit, near))).alias("flip")).withColumn("q", F.col("p").bitwiseXOR(F.col("flip")))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), other - 1)).alias("theirs"))
+    rows = rows.join(F.broadcast(other), "q").select("*", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("theirs"))
     mine, theirs = F.struct("p", F.col("own").alias("k")), F.struct(F.col("q").alias("p"), F.col("theirs").alias("k"))
     first = mine <= theirs
     rows = rows.select("fp", F.when(first, mine).otherwise(theirs).alias("x"), F.when(first, theirs).otherwise(mine).alias("y"), F.when(mine == theirs, F.lit(2)).when(first, F.lit(0)).otherwise(F.lit(1)).alias("side"))
@@ -196,39 +185,13 @@ def near_links(spark: SparkSession, values: DataFrame, block: int = BLOCK) -> Da
     return keyed.groupBy("xp", "xk", "yp", "yk").applyInPandas(_walk_group(top), "a bigint, b bigint")
 
 
-def _roots(marks: DataFrame) -> DataFrame:
-    """(fp, least, root) for each distinct fingerprint of ``marks``: its least doc_id, and its component's fingerprint."""
-    least = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(near_links(marks.sparkSession, least.select("fp")))
-    known = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return cut(known, "simhash-root")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id), one row for each row of ``docs``."""
     marks = cut(fingerprints(docs, id_col, text_col), "simhash-fp")
-    known = _roots(marks)
+    least = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    roots = components(near_links(marks.sparkSession, least.select("fp")))
+    known = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    known = cut(known, "simhash-root")
     heads = known.groupBy("root").agg(F.min("least").alias("component_id"))
     named = known.join(heads, "root").select("fp", "component_id")
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each component, that with the least doc_id, a null one last, then the least SHA-256 of the text; of
-    rows that share both, one. Rows that share a doc_id, or have none, are told apart by their texts. The join is by
-    sorted shuffle at every size, so that disk and time grow with the input alone."""
-    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names may clash
-    own, text = (plain[f"c{docs.columns.index(n)}"] for n in ("doc_id", "text"))
-    key = [own.cast("bigint").alias("k_id"), F.unhex(F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)).alias("k_text")]
-    marks = plain.select(*key, text.cast("string").alias("text")).mapInArrow(_keyed_fingerprints, "doc_id bigint, k_text binary, fp bigint")
-    marks = cut(marks, "simhash-fp")
-    known = _roots(marks)
-    rows = marks.groupBy("fp", "doc_id", "k_text").agg(F.count(F.lit(1)).alias("same"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k_text", "same"))  # a key's count goes with it
-    keep = rows.join(known.select("fp", "root"), "fp").groupBy("root").agg(best.alias("b"))
-    keep = cut(keep.select(F.col("b.doc_id").alias("b_id"), F.col("b.k_text").alias("b_text"), "b.same"), "simhash-keep")
-    rows = plain.select("*", *key)
-    elected = F.col("k_id").eqNullSafe(F.col("b_id")) & (F.col("k_text") == F.col("b_text"))
-    single = rows.join(keep.where("same = 1").hint("merge"), elected, "left_semi")
-    several = rows.join(keep.where("same > 1"), elected, "left_semi").dropDuplicates(["k_id", "k_text"])
-    return single.unionByName(several).select(*plain.columns).toDF(*docs.columns)
