@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from public_tokenizers import PATTERN
 
-from tidegrove.llm import bpe, decontaminate, kneser_ney, licenses, quality, quotes, sharding, simhash, tokencount, warc
+from tidegrove.llm import bpe, decontaminate, kneser_ney, licenses, near_copies, quality, quotes, sharding, simhash, tokencount, warc
 from tidegrove.llm.queries import RANKS
 from tidegrove.llm.words import slices, words
 
@@ -154,9 +154,9 @@ def test_simhash_equals_brute_force(spark, docs, empty):
         assert r["fp"] & (2**64 - 1) == prints[i]
         assert r["component_id"] == min(j for j in range(len(TEXTS)) if roots[j] == roots[i])
     assert simhash.near_duplicates(empty).count() == 0
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted({r["component_id"] for r in rows})
+    kept = near_copies.one_of_each(docs)
+    assert kept.columns == docs.columns and near_copies.one_of_each(empty).count() == 0
+    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [0, 3, 4, 5, 7, 9, 10, 11, 12, 13]
 
 
 def test_dedup_tells_rows_of_one_id_apart(spark):
@@ -164,7 +164,7 @@ def test_dedup_tells_rows_of_one_id_apart(spark):
     texts = [prose(120, 700 + k) for k in range(12)]
     rows = [(7, t, "a") for t in texts[:5]] + [(None, t, "a") for t in texts[5:9]] + [(k, texts[k], "a") for k in (9, 10, 11)]
     rows += [(7, texts[0], "a"), (3, texts[1], "a"), (7, texts[10], "a"), (None, texts[5], "a"), (None, texts[2], "a"), (None, "", "a"), (None, None, "a"), (7, texts[6], "a")]
-    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string, fp string").repartition(3))
+    kept = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string, fp string").repartition(3))
     got = [(r["doc_id"], r["text"] or "") for r in kept.collect()]
     want = [(7, texts[0]), (3, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[4]), (None, texts[5]), (7, texts[6]), (None, texts[7]), (None, texts[8]), (9, texts[9]), (7, texts[10]), (11, texts[11]), (None, "")]
     assert kept.columns == ["doc_id", "text", "fp"] and sorted(got, key=str) == sorted(want, key=str)
