@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators.cross import CHANNEL_SQL, SAMPLES, pairs
+from ..operators.cross import CHANNEL_SQL, WIDTH, pairs
 from ..operators.segments import segment
 from ..operators.series import series
 from ..registry import query, rnd, table
@@ -126,7 +126,7 @@ def events_score_column(predicted: Column, truth: Column, length: Column) -> Col
 
 
 @query(CHANNEL_SQL + f""", c AS (SELECT sid, count(*) AS k FROM g GROUP BY sid), nn AS (SELECT DISTINCT sid, n FROM s),
-z AS (SELECT gx.sid AS a, gy.sid AS b, n, CASE WHEN gx.type = gy.type THEN 1.0 ELSE 0.0 END::DOUBLE AS t, exp(-abs(gx.start - gy.start) / (0.05::DOUBLE * n)) + exp(-abs(gx.stop - gy.stop) / (0.05::DOUBLE * n)) AS e FROM g gx JOIN g gy ON gx.sid % {SAMPLES} = gy.sid % {SAMPLES} AND gx.sid < gy.sid AND gx.seg = gy.seg JOIN nn ON nn.sid = gx.sid),
+z AS (SELECT gx.sid AS a, gy.sid AS b, n, CASE WHEN gx.type = gy.type THEN 1.0 ELSE 0.0 END::DOUBLE AS t, exp(-abs(gx.start - gy.start) / (0.05::DOUBLE * n)) + exp(-abs(gx.stop - gy.stop) / (0.05::DOUBLE * n)) AS e FROM g gx JOIN g gy ON gx.sid // {WIDTH} = gy.sid // {WIDTH} AND gx.sid < gy.sid AND gx.seg = gy.seg JOIN nn ON nn.sid = gx.sid),
 y AS (SELECT a, b, sum(0.5 * t + 0.25 * (0.5 + 0.5 * t) * e) AS s FROM z GROUP BY a, b)
 SELECT a, b, round(greatest(s / x.k * greatest(0.5, 1 - 0.2 * abs(x.k - w.k)), CASE WHEN x.k = w.k THEN 0.1 ELSE 0.05 END), 4) AS score FROM y JOIN c x ON x.sid = a JOIN c w ON w.sid = b""")
 def score_trend_segments(spark, sf_dir):
@@ -134,7 +134,7 @@ def score_trend_segments(spark, sf_dir):
     p = series(spark, sf_dir)
     n = p.groupBy("sid").agg(F.max("n").alias("n"))
     g = segment(p).groupBy("sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg", "type", "start", "stop"))), lambda x: F.struct(x["type"].alias("type"), x["start"].alias("start"), x["stop"].alias("stop"))).alias("g"))
-    ch = g.join(n, "sid").withColumn("sample", F.col("sid") % SAMPLES)
+    ch = g.join(n, "sid").withColumn("sample", F.floor(F.col("sid") / WIDTH))
     return pairs(ch).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), rnd(segments_score(F.col("y.g"), F.col("x.g"), F.col("x.n")), 4).alias("score"))
 
 

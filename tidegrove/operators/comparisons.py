@@ -6,11 +6,11 @@ trend, without making the pairs; pairs and comparisons with an anchor are made o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import query, rnd, table
-from .cross import CHANNEL_SQL, SAMPLES, channels, pairs
+from .cross import CHANNEL_SQL, WIDTH, channels, pairs
 from .enumerations import listed, winners
 from .held_out import by, one
 from .segments import local_events, segment, segments
@@ -19,7 +19,7 @@ from .series import HALF, POS, part, series
 #: One row a channel in SQL with all that can be compared.
 PROFILE_SQL = CHANNEL_SQL + f""", gp AS (SELECT sid, min(pos) AS first, max(pos) AS last, count(*) AS events, max(gap) AS gap, max(abs(value)) AS amp FROM (SELECT *, lead(pos) OVER (PARTITION BY sid ORDER BY pos) - pos AS gap FROM ev) GROUP BY sid),
 sg AS (SELECT sid, count(*) AS segs, max(dur) AS longest FROM g GROUP BY sid),
-pf AS (SELECT sid % {SAMPLES} AS sample, a.sid, unnest([{{'what': 'mean', 'v': mean::DOUBLE}}, {{'what': 'std', 'v': std}}, {{'what': 'max', 'v': hi}}, {{'what': 'min', 'v': -lo}}, {{'what': 'range', 'v': round(hi - lo, 4)}}, {{'what': 'segments', 'v': segs::DOUBLE}}, {{'what': 'longest', 'v': longest::DOUBLE}},
+pf AS (SELECT sid // {WIDTH} AS sample, a.sid, unnest([{{'what': 'mean', 'v': mean::DOUBLE}}, {{'what': 'std', 'v': std}}, {{'what': 'max', 'v': hi}}, {{'what': 'min', 'v': -lo}}, {{'what': 'range', 'v': round(hi - lo, 4)}}, {{'what': 'segments', 'v': segs::DOUBLE}}, {{'what': 'longest', 'v': longest::DOUBLE}},
  {{'what': 'events', 'v': coalesce(events, 0)::DOUBLE}}, {{'what': 'earliest', 'v': -first::DOUBLE}}, {{'what': 'latest', 'v': last::DOUBLE}}, {{'what': 'gap', 'v': gap::DOUBLE}}, {{'what': 'amplitude', 'v': amp}}]) AS x FROM a JOIN sg USING (sid) LEFT JOIN gp USING (sid)),
 fl AS (SELECT sample, sid, x.what AS what, x.v AS v FROM pf WHERE x.v IS NOT NULL) """
 
@@ -59,7 +59,7 @@ def cross_trend_pairs(spark, sf_dir):
 
 
 @query(CHANNEL_SQL + f""", hf AS (SELECT g.sid, seg, type, greatest(0, least(stop, n // 2) - start) AS o1, greatest(0, stop - greatest(start, n // 2)) AS o2 FROM g JOIN (SELECT DISTINCT sid, n FROM s) USING (sid)),
-t1 AS (SELECT sid % {SAMPLES} AS sample, 1 AS half, type FROM hf QUALIFY row_number() OVER (PARTITION BY sid ORDER BY o1 DESC, seg) = 1), t2 AS (SELECT sid % {SAMPLES} AS sample, 2 AS half, type FROM hf QUALIFY row_number() OVER (PARTITION BY sid ORDER BY o2 DESC, CASE WHEN o2 > 0 THEN seg ELSE -seg END) = 1),
+t1 AS (SELECT sid // {WIDTH} AS sample, 1 AS half, type FROM hf QUALIFY row_number() OVER (PARTITION BY sid ORDER BY o1 DESC, seg) = 1), t2 AS (SELECT sid // {WIDTH} AS sample, 2 AS half, type FROM hf QUALIFY row_number() OVER (PARTITION BY sid ORDER BY o2 DESC, CASE WHEN o2 > 0 THEN seg ELSE -seg END) = 1),
 cc AS (SELECT sample, half, type, count(*) AS c FROM (FROM t1 UNION ALL FROM t2) GROUP BY ALL), y AS (SELECT sample, sum(c * (c - 1) // 2) FILTER (half = 1)::BIGINT AS early, sum(c * (c - 1) // 2) FILTER (half = 2)::BIGINT AS late FROM cc GROUP BY sample)
 SELECT sample, early, late, late > early + 1 AS converge, early > late + 1 AS diverge FROM y""")
 def cross_trend_convergence(spark, sf_dir):
@@ -69,7 +69,7 @@ def cross_trend_convergence(spark, sf_dir):
     g = segment(p).join(n, "sid").withColumn("o1", F.greatest(F.lit(0), F.least("stop", HALF()) - F.col("start"))).withColumn("o2", F.greatest(F.lit(0), F.col("stop") - F.greatest("start", HALF())))
     late = F.when(F.col("o2") > 0, -F.col("seg")).otherwise(F.col("seg"))
     t = g.groupBy("sid").agg(F.max_by("type", F.struct("o1", -F.col("seg"))).alias("t1"), F.max_by("type", F.struct("o2", late)).alias("t2"))
-    t = t.select((F.col("sid") % SAMPLES).alias("sample"), F.posexplode(F.array("t1", "t2")).alias("half", "type"))
+    t = t.select((F.floor(F.col("sid") / WIDTH)).alias("sample"), F.posexplode(F.array("t1", "t2")).alias("half", "type"))
     c = t.groupBy("sample", "half", "type").agg(one().alias("c")).withColumn("c", F.expr("c * (c - 1) div 2"))
     y = c.groupBy("sample").agg(F.sum(F.when(F.col("half") == 0, F.col("c"))).alias("early"), F.sum(F.when(F.col("half") == 1, F.col("c"))).alias("late"))
     return y.select("*", (F.col("late") > F.col("early") + 1).alias("converge"), (F.col("early") > F.col("late") + 1).alias("diverge"))
@@ -91,13 +91,13 @@ def cross_stat_judgment(spark, sf_dir, k: float = 1.1, share: float = 0.03):
     return p.select("x.sample", F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), (F.col("x.std") >= rnd(k * F.col("y.std"), 2)).alias("std_ratio"), (rnd("x.r", 2) >= rnd(k * F.col("y.r"), 2)).alias("range_ratio"), (far("x") & far("y")).alias("half_shift"))
 
 
-HALF_STD_SQL = CHANNEL_SQL + f", hs AS (SELECT sid % {SAMPLES} AS sample, sid, round(stddev_pop(value) FILTER (pos < n // 2), 2) AS s1, round(stddev_pop(value) FILTER (pos >= n // 2), 2) AS s2 FROM s GROUP BY sid) "
+HALF_STD_SQL = CHANNEL_SQL + f", hs AS (SELECT sid // {WIDTH} AS sample, sid, round(stddev_pop(value) FILTER (pos < n // 2), 2) AS s1, round(stddev_pop(value) FILTER (pos >= n // 2), 2) AS s2 FROM s GROUP BY sid) "
 
 
 @query(HALF_STD_SQL + "SELECT x.sample, x.sid AS a, y.sid AS b, x.s1 > y.s1 AND x.s2 > y.s2 AS steadier, (x.s2 > x.s1) = (y.s2 > y.s1) AS same_way FROM hs x JOIN hs y ON x.sample = y.sample AND x.sid < y.sid")
 def cross_half_volatility(spark, sf_dir):
     """Whether b is the steadier one in both halves, and whether both grow or calm down."""
-    hs = series(spark, sf_dir).groupBy("sid").agg(rnd(F.stddev_pop(part(POS() < HALF())), 2).alias("s1"), rnd(F.stddev_pop(part(POS() >= HALF())), 2).alias("s2")).withColumn("sample", F.col("sid") % SAMPLES)
+    hs = series(spark, sf_dir).groupBy("sid").agg(rnd(F.stddev_pop(part(POS() < HALF())), 2).alias("s1"), rnd(F.stddev_pop(part(POS() >= HALF())), 2).alias("s2")).withColumn("sample", F.floor(F.col("sid") / WIDTH))
     return pairs(hs).selectExpr("x.sample", "x.sid AS a", "y.sid AS b", "x.s1 > y.s1 AND x.s2 > y.s2 AS steadier", "(x.s2 > x.s1) = (y.s2 > y.s1) AS same_way")
 
 
@@ -106,51 +106,69 @@ def cross_trend_query(spark, sf_dir, a: int = 10, b: int = 40):
     """Whether the types that fill most of [a, b] agree."""
     over = F.greatest(F.lit(0), F.least(F.lit(b), F.col("stop")) - F.greatest(F.lit(a), F.col("start")))
     o = winners(segments(spark, sf_dir).groupBy("sid", "type").agg(F.sum(over).alias("o")), F.col("o"), "sid")
-    d = o.groupBy("sid").agg(F.when(one() > 1, "equal").otherwise(F.min("type")).alias("dom")).withColumn("sample", F.col("sid") % SAMPLES)
+    d = o.groupBy("sid").agg(F.when(one() > 1, "equal").otherwise(F.min("type")).alias("dom")).withColumn("sample", F.floor(F.col("sid") / WIDTH))
     return pairs(d).selectExpr("x.sample", "x.sid AS a", "y.sid AS b", "x.dom = y.dom AS same")
 
 
-SHAPE_SQL = CHANNEL_SQL + f", sh AS (SELECT sid % {SAMPLES} AS sample, sid, string_agg(type, '>' ORDER BY seg) AS shape, string_agg(CASE type WHEN 'increase' THEN 'decrease' WHEN 'decrease' THEN 'increase' ELSE type END, '>' ORDER BY seg) AS mirror FROM (SELECT * FROM g WHERE seg < 3) GROUP BY sid) "
+#: How far apart the borders of two segments may lie that are at the same place of their series.
+TOLERANCE = 8
+SHAPE_SQL = CHANNEL_SQL + f""", sh AS (SELECT sid // {WIDTH} AS sample, sid, count(*) AS k FROM g GROUP BY sid),
+mt AS (SELECT x.sid AS a, y.sid AS b, count(*) FILTER (x.type = y.type) AS alike, count(*) FILTER (y.type = CASE x.type WHEN 'increase' THEN 'decrease' WHEN 'decrease' THEN 'increase' ELSE x.type END) AS mirrored
+ FROM g x JOIN g y ON x.sid // {WIDTH} = y.sid // {WIDTH} AND x.sid <> y.sid AND x.seg = y.seg AND abs(x.start - y.start) <= {TOLERANCE} AND abs(x.stop - y.stop) <= {TOLERANCE} GROUP BY ALL),
+cmp AS (SELECT x.sample, x.sid AS a, y.sid AS b, x.k = y.k AND coalesce(alike, 0) = x.k AS same, x.k = y.k AND coalesce(mirrored, 0) = x.k AS against FROM sh x JOIN sh y ON x.sample = y.sample AND x.sid <> y.sid LEFT JOIN mt ON mt.a = x.sid AND mt.b = y.sid) """
 
 
-def shapes(spark: SparkSession, sf_dir: str, first: int = 3) -> DataFrame:
-    """(sample, sid, shape, mirror): the types of the first segments, and the same with rises and falls exchanged."""
-    t = F.transform(F.array_sort(F.collect_list(F.struct("seg", "type"))), lambda x: x["type"])
-    flip = lambda x: F.when(x == "increase", "decrease").when(x == "decrease", "increase").otherwise(x)
-    s = segments(spark, sf_dir).where(F.col("seg") < first).groupBy("sid").agg(t.alias("t"))
-    return s.select((F.col("sid") % SAMPLES).alias("sample"), "sid", F.array_join("t", ">").alias("shape"), F.array_join(F.transform("t", flip), ">").alias("mirror"))
+def shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample, sid, shape): the type, start and stop of every segment of a channel, in order."""
+    s = F.array_sort(F.collect_list(F.struct("seg", "type", "start", "stop")))
+    return segments(spark, sf_dir).groupBy("sid").agg(s.alias("shape")).withColumn("sample", F.floor(F.col("sid") / WIDTH))
 
 
-@query(SHAPE_SQL + "SELECT x.sample, x.sid AS a, y.sid AS b, CASE WHEN x.shape = y.shape THEN 'similar' ELSE 'different' END AS correlation, CASE WHEN x.shape = y.mirror THEN 'opposite' ELSE 'not_opposite' END AS anticorrelation FROM sh x JOIN sh y ON x.sample = y.sample AND x.sid < y.sid")
+def goes_with(x: Column, y: Column, tolerance: int = TOLERANCE, against: bool = False) -> Column:
+    """Whether two channels have equally many segments, each of the same type (or, against, rises where the other falls)
+    and with both borders within the tolerance."""
+    turned = lambda t: F.when(t == "increase", "decrease").when(t == "decrease", "increase").otherwise(t)
+    kind = lambda t: turned(t) if against else t
+    near = lambda a, b: (b["type"] == kind(a["type"])) & (F.abs(a["start"] - b["start"]) <= tolerance) & (F.abs(a["stop"] - b["stop"]) <= tolerance)
+    return (F.size(x) == F.size(y)) & F.forall(F.zip_with(x, y, lambda a, b: F.coalesce(near(a, b), F.lit(False))), lambda hit: hit)
+
+
+def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample, a, b, same, against) of the pairs of channels of each sample."""
+    p = pairs(shapes(spark, sf_dir))
+    return p.select("x.sample", F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), goes_with(F.col("x.shape"), F.col("y.shape")).alias("same"), goes_with(F.col("x.shape"), F.col("y.shape"), against=True).alias("against"))
+
+
+@query(SHAPE_SQL + "SELECT sample, a, b, CASE WHEN same THEN 'similar' ELSE 'different' END AS correlation, CASE WHEN against THEN 'opposite' ELSE 'not_opposite' END AS anticorrelation FROM cmp WHERE a < b")
 def shape_correlation(spark, sf_dir):
-    """Whether two channels go through the same trends, or through opposite ones."""
-    return pairs(shapes(spark, sf_dir)).selectExpr("x.sample", "x.sid AS a", "y.sid AS b", "CASE WHEN x.shape = y.shape THEN 'similar' ELSE 'different' END AS correlation", "CASE WHEN x.shape = y.mirror THEN 'opposite' ELSE 'not_opposite' END AS anticorrelation")
+    """Whether two channels go through the same trends at the same places, or through opposite ones."""
+    return compared(spark, sf_dir).selectExpr("sample", "a", "b", "CASE WHEN same THEN 'similar' ELSE 'different' END AS correlation", "CASE WHEN against THEN 'opposite' ELSE 'not_opposite' END AS anticorrelation")
 
 
-@query(SHAPE_SQL + "SELECT x.sample, x.sid AS anchor, coalesce(string_agg(y.sid::VARCHAR, ', ' ORDER BY y.sid) FILTER (x.shape = y.shape), 'none') AS alike, coalesce(string_agg(y.sid::VARCHAR, ', ' ORDER BY y.sid) FILTER (x.shape = y.mirror), 'none') AS opposite FROM sh x JOIN sh y ON x.sample = y.sample AND x.sid <> y.sid WHERE x.sid = x.sample GROUP BY ALL")
+@query(SHAPE_SQL + ", an AS (SELECT min(sid) AS sid FROM sh GROUP BY sample) SELECT sample, a AS anchor, coalesce(string_agg(b::VARCHAR, ', ' ORDER BY b) FILTER (same), 'none') AS alike, coalesce(string_agg(b::VARCHAR, ', ' ORDER BY b) FILTER (against), 'none') AS opposite FROM cmp JOIN an ON an.sid = a GROUP BY sample, a")
 def shape_clustering(spark, sf_dir):
     """The channels that go the anchor's way, and those that go against it; the anchor is the sample's first channel."""
-    s = shapes(spark, sf_dir)
-    a = s.where("sid = sample").selectExpr("sample", "sid AS anchor", "shape AS way")
-    hit = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(F.col(c) == F.col("way"), F.col("sid")))), ", ")
-    g = s.where("sid <> sample").join(a, "sample").groupBy("sample", "anchor").agg(hit("shape").alias("alike"), hit("mirror").alias("opposite"))
+    first = F.min("a").over(Window.partitionBy("sample"))
+    c = compared(spark, sf_dir).withColumn("anchor", first).where("a = anchor")
+    hit = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(F.col(c), F.col("b")))), ", ")
+    g = c.groupBy("sample", "anchor").agg(hit("same").alias("alike"), hit("against").alias("opposite"))
     return g.select("sample", "anchor", *(F.when(F.col(c) == "", "none").otherwise(F.col(c)).alias(c) for c in ("alike", "opposite")))
 
 
-@query(SHAPE_SQL + "SELECT x.sample, x.sid AS a, y.sid AS b, x.shape = y.mirror AND v.std > w.std AS yes FROM sh x JOIN sh y ON x.sample = y.sample AND x.sid < y.sid JOIN a v ON v.sid = x.sid JOIN a w ON w.sid = y.sid")
+@query(SHAPE_SQL + "SELECT cmp.sample, cmp.a, cmp.b, against AND v.std > w.std AS yes FROM cmp JOIN a v ON v.sid = cmp.a JOIN a w ON w.sid = cmp.b WHERE cmp.a < cmp.b")
 def anti_judgment(spark, sf_dir):
     """Whether two channels go against each other and the first is the less steady one."""
     s = shapes(spark, sf_dir).join(channels(spark, sf_dir).select("sid", "std"), "sid")
-    return pairs(s).selectExpr("x.sample", "x.sid AS a", "y.sid AS b", "x.shape = y.mirror AND x.std > y.std AS yes")
+    return pairs(s).select("x.sample", F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), (goes_with(F.col("x.shape"), F.col("y.shape"), against=True) & (F.col("x.std") > F.col("y.std"))).alias("yes"))
 
 
-NEAR_SQL = CHANNEL_SQL + f", nr AS (SELECT sid % {SAMPLES} AS sample, sid, coalesce(bool_or(abs(pos - 20) <= 2), false) AS near FROM (SELECT DISTINCT sid FROM s) LEFT JOIN ev USING (sid) GROUP BY sid) "
+NEAR_SQL = CHANNEL_SQL + f", nr AS (SELECT sid // {WIDTH} AS sample, sid, coalesce(bool_or(abs(pos - 20) <= 2), false) AS near FROM (SELECT DISTINCT sid FROM s) LEFT JOIN ev USING (sid) GROUP BY sid) "
 
 
 def near(spark: SparkSession, sf_dir: str, point: int, tolerance: int) -> DataFrame:
     """(sample, sid, near): whether a channel has an event near a point; one aggregation, channels without one too."""
     hit = (F.col("event_type") == "error") & (F.abs(POS() - point) <= tolerance)
-    return series(spark, sf_dir).groupBy("sid").agg(F.some(hit).alias("near")).withColumn("sample", F.col("sid") % SAMPLES)
+    return series(spark, sf_dir).groupBy("sid").agg(F.some(hit).alias("near")).withColumn("sample", F.floor(F.col("sid") / WIDTH))
 
 
 @query(NEAR_SQL + "SELECT x.sample, x.sid AS a, y.sid AS b, x.near AND y.near AS correlated FROM nr x JOIN nr y ON x.sample = y.sample AND x.sid < y.sid")

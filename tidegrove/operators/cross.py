@@ -1,4 +1,4 @@
-"""Queries over the channels of one sample: users whose ids agree modulo ``SAMPLES`` are the channels of a sample.
+"""Queries over the channels of one sample: ``WIDTH`` users with neighbouring ids are the channels of a sample.
 
 Channels are first brought to one row of attributes each; pairs are made of those rows within a sample, never of points.
 """
@@ -12,9 +12,10 @@ from ..registry import query, rnd
 from .segments import SEGMENT_SQL, local_events, segment
 from .series import HALF, POS, part, series
 
-SAMPLES = 30
+#: Channels of a sample. It is fixed, so samples grow in number with the input and pairs in proportion to it.
+WIDTH = 5
 CHANNEL_SQL = SEGMENT_SQL + f""", dt AS (SELECT sid, type FROM (SELECT sid, type, count(*) AS c, min(seg) AS f FROM g GROUP BY sid, type) QUALIFY row_number() OVER (PARTITION BY sid ORDER BY c DESC, f) = 1),
-a AS (SELECT sid, sid % {SAMPLES} AS sample, round(avg(value), 2) AS mean, round(stddev_pop(value), 2) AS std, min(value) AS lo, max(value) AS hi, round(avg(value) FILTER (pos < n // 2), 2) AS h1, round(avg(value) FILTER (pos >= n // 2), 2) AS h2,
+a AS (SELECT sid, sid // {WIDTH} AS sample, round(avg(value), 2) AS mean, round(stddev_pop(value), 2) AS std, min(value) AS lo, max(value) AS hi, round(avg(value) FILTER (pos < n // 2), 2) AS h1, round(avg(value) FILTER (pos >= n // 2), 2) AS h2,
   arg_max(pos, struct_pack(v := value, p := -pos)) AS peak FROM s GROUP BY sid),
 ch2 AS (SELECT a.*, dt.type FROM a JOIN dt USING (sid)),
 pr AS (SELECT x.sample, x.sid AS a, y.sid AS b, x.mean AS ma, y.mean AS mb, x.type AS ta, y.type AS tb, x.lo AS la, x.hi AS ha, y.lo AS lb, y.hi AS hb, x.h2 - x.h1 AS da, y.h2 - y.h1 AS db, x.peak AS pa, y.peak AS pb FROM ch2 x JOIN ch2 y ON x.sample = y.sample AND x.sid < y.sid) """
@@ -25,7 +26,7 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = series(spark, sf_dir)
     kinds = segment(p).groupBy("sid", "type").agg(F.count(F.lit(1)).alias("c"), F.min("seg").alias("f")).groupBy("sid").agg(F.max_by("type", F.struct("c", -F.col("f"))).alias("type"))
     stats = p.groupBy("sid").agg(rnd(F.avg("value"), 2).alias("mean"), rnd(F.stddev_pop("value"), 2).alias("std"), F.min("value").alias("lo"), F.max("value").alias("hi"), rnd(F.avg(part(POS() < HALF())), 2).alias("h1"), rnd(F.avg(part(POS() >= HALF())), 2).alias("h2"), F.max_by("pos", F.struct("value", -POS())).alias("peak"))
-    return stats.join(kinds, "sid").withColumn("sample", F.col("sid") % SAMPLES)
+    return stats.join(kinds, "sid").withColumn("sample", F.floor(F.col("sid") / WIDTH))
 
 
 def pairs(ch: DataFrame) -> DataFrame:
@@ -122,21 +123,21 @@ def dominant_trend_in_cluster(spark, sf_dir):
     return c.groupBy("sample").agg(F.min_by("type", F.struct(-F.col("c"), "type")).alias("type"))
 
 
-@query(CHANNEL_SQL + f"SELECT x.sid % {SAMPLES} AS sample, x.sid AS a, y.sid AS b, min(abs(x.pos - y.pos))::INT AS distance FROM ev x JOIN ev y ON x.sid % {SAMPLES} = y.sid % {SAMPLES} AND x.sid < y.sid GROUP BY ALL")
+@query(CHANNEL_SQL + f"SELECT x.sid // {WIDTH} AS sample, x.sid AS a, y.sid AS b, min(abs(x.pos - y.pos))::INT AS distance FROM ev x JOIN ev y ON x.sid // {WIDTH} = y.sid // {WIDTH} AND x.sid < y.sid GROUP BY ALL")
 def cross_event_sync(spark, sf_dir):
     """The least distance of two channels' events. Each event meets the nearest ones before and after it only: events of
     a pair of channels are put in order, and neighbours of different channels compared."""
-    e = local_events(spark, sf_dir).withColumn("sample", F.col("sid") % SAMPLES).groupBy("sample", "sid").agg(F.array_sort(F.collect_list("pos")).alias("at"))
+    e = local_events(spark, sf_dir).withColumn("sample", F.floor(F.col("sid") / WIDTH)).groupBy("sample", "sid").agg(F.array_sort(F.collect_list("pos")).alias("at"))
     p = pairs(e)
     near = F.array_min(F.transform("x.at", lambda i: F.array_min(F.transform(F.col("y.at"), lambda j: F.abs(i - j)))))
     return p.select("x.sample", F.col("x.sid").alias("a"), F.col("y.sid").alias("b"), near.alias("distance"))
 
 
-@query(CHANNEL_SQL + f"SELECT x.sid % {SAMPLES} AS sample, x.sid AS a, y.sid AS b, count(DISTINCT x.pos) AS followed FROM ev x JOIN ev y ON x.sid % {SAMPLES} = y.sid % {SAMPLES} AND x.sid <> y.sid AND y.pos > x.pos AND y.pos < x.pos + 5 GROUP BY ALL")
+@query(CHANNEL_SQL + f"SELECT x.sid // {WIDTH} AS sample, x.sid AS a, y.sid AS b, count(DISTINCT x.pos) AS followed FROM ev x JOIN ev y ON x.sid // {WIDTH} = y.sid // {WIDTH} AND x.sid <> y.sid AND y.pos > x.pos AND y.pos < x.pos + 5 GROUP BY ALL")
 def follow_within_window(spark, sf_dir, window: int = 5):
     """How many events of a are followed by one of b in fewer than ``window`` points: a range join made an equi-join by
     giving every event the one or two stretches of positions that it can reach."""
-    e = local_events(spark, sf_dir).withColumn("sample", F.col("sid") % SAMPLES)
+    e = local_events(spark, sf_dir).withColumn("sample", F.floor(F.col("sid") / WIDTH))
     x = e.select("sample", F.col("sid").alias("a"), F.col("pos").alias("pa"), F.explode(F.sequence(F.floor(F.col("pos") / window), F.floor((F.col("pos") + window) / window))).alias("bin"))
     y = e.select("sample", F.col("sid").alias("b"), F.col("pos").alias("pb"), F.floor(F.col("pos") / window).alias("bin"))
     hit = x.join(y, ["sample", "bin"]).where("a <> b AND pb > pa").where(F.col("pb") - F.col("pa") < window)

@@ -48,6 +48,11 @@ def attributes(ids: DataFrame) -> DataFrame:
     )
 
 
+def spread(ids: DataFrame) -> DataFrame:
+    """A table of few bytes is one task to Spark; what is made of each of its rows is work for all."""
+    return ids.repartition(4 * ids.sparkSession.sparkContext.defaultParallelism)
+
+
 def points(made: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(sid, pos, value) of each series described in ``made``, and the attributes to keep."""
     p = made.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"))
@@ -77,7 +82,7 @@ MADE_SQL = f"""WITH u AS (SELECT p_partkey AS sid, CASE WHEN {_u("usual", "p_par
 
 
 def _made(spark, sf_dir):
-    return attributes(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sid")))
+    return attributes(spread(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sid"))))
 
 
 @query(MADE_SQL + "SELECT sid, n, wave, period, amplitude, first, last, noise FROM u")

@@ -55,10 +55,10 @@ def rpp_baseline(spark, sf_dir):
     return b.join(F.broadcast(t)).select(*KEYS, rnd((F.col("d") - F.col("m")) / F.sqrt(F.col("v") + 1e-8), 4).alias("adv"))  # one row
 
 
-@query(SCORE_SQL + ", n AS (SELECT count(*) / count(*) FILTER (s <> 0)::DOUBLE AS alpha FROM s) SELECT g, i, p, q, round(alpha * (s - mu), 4) AS adv FROM w, n")
+@query(SCORE_SQL + ", n AS (SELECT count(*) / nullif(count(*) FILTER (s <> 0), 0)::DOUBLE AS alpha FROM s) SELECT g, i, p, q, round(alpha * (s - mu), 4) AS adv FROM w, n")
 def gpg(spark, sf_dir):
     d = scores(spark, sf_dir)
-    n = d.agg((F.count(F.lit(1)) / F.count(F.when(F.col("s") != 0, 1))).alias("alpha"))
+    n = d.agg(F.try_divide(F.count(F.lit(1)), F.count(F.when(F.col("s") != 0, 1))).alias("alpha"))  # null if all scores are 0
     return d.withColumn("mu", F.avg("s").over(G())).join(F.broadcast(n)).select(*KEYS, rnd(F.col("alpha") * (F.col("s") - F.col("mu")), 4).alias("adv"))  # one row
 
 
@@ -106,16 +106,15 @@ def remax_returns(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("i"), F.col("l_partkey").alias("p"), rnd(F.sum("l_discount").over(w), 4).alias("ret"))
 
 
-def discounted_returns(rewards, gamma: float):
-    """Of an array of rewards the discounted sum from each place on: a fold over the reversed array."""
-    state = F.aggregate(F.reverse(rewards), F.struct(F.lit(0.0).alias("v"), F.array().cast("array<double>").alias("out")), lambda a, r: F.struct((r + gamma * a["v"]).alias("v"), F.concat(F.array(r + gamma * a["v"]), a["out"]).alias("out")))
-    return state["out"]
+def first_return(rewards, gamma: float):
+    """The discounted sum of an array of rewards: a fold from its end."""
+    return F.aggregate(F.reverse(rewards), F.lit(0.0), lambda a, r: r + gamma * a)
 
 
 @query("WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS t, unnest(embedding)::DOUBLE AS r FROM embeddings) SELECT a.vec_id, round(sum(b.r * pow(0.9, b.t - 1)), 4) AS first_return FROM e b JOIN (SELECT DISTINCT vec_id FROM e) a USING (vec_id) GROUP BY a.vec_id")
 def reinforce_pp_return(spark, sf_dir, gamma: float = 0.9):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
-    return e.select("vec_id", rnd(discounted_returns(F.col("x"), gamma)[0], 4).alias("first_return"))
+    return e.select("vec_id", rnd(first_return(F.col("x"), gamma), 4).alias("first_return"))
 
 
 @query("SELECT l_orderkey AS g, l_linenumber AS i, l_partkey AS p, round(d, 6) AS k1, round(abs(d), 6) AS k_abs, round(d * d / 2, 6) AS k2, round(greatest(least(exp(-d) - 1 + d, 10), -10), 6) AS k3 FROM (SELECT *, l_discount - l_tax AS d FROM lineitem)")

@@ -1,8 +1,8 @@
 """Deterministic preparation of datasets: caps, balance, strata, quotas, splits.
 
 Documents with labels are the rows; source is the type, quality the verdict. "Random" order is a key that depends on the
-row's id and a seed alone, so results do not depend on partitions. Ranks within a type that may hold a third of all rows
-are found from the key itself where a cap allows it: only rows below the cap's share of the key range are ranked.
+row's id and a seed alone, so results do not depend on partitions. A type may hold a third of all rows: ranks are told
+within stretches of the key's range, by counts of the stretches before, so that no type has to fit in one task.
 """
 
 from __future__ import annotations
@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from ..registry import query, rnd, table
 
-SEED = 42
-ROWS_SQL = f"WITH d AS (SELECT doc_id, source, lang, quality, toxic, n_chars, (doc_id * 2654435761 + {SEED}) % 4294967296 AS h FROM documents JOIN labels USING (doc_id)) "
+SEED, STRETCHES = 42, 256
+ROWS_SQL = f"WITH d AS (SELECT doc_id, source, lang, quality, toxic, n_chars, (doc_id % 2147483648 * 2654435761 + {SEED}) % 4294967296 AS h FROM documents JOIN labels USING (doc_id)) "
 
 
 def order_key(column: str = "doc_id", seed: int = SEED) -> Column:
-    """An order that mixes ids, the same in every engine."""
-    return (F.col(column) * F.lit(2654435761) + seed) % F.lit(4294967296)
+    """An order that mixes ids, the same in every engine. The id is taken modulo 2**31, so that no product is too large."""
+    return F.pmod(F.pmod(F.col(column), F.lit(1 << 31)) * F.lit(2654435761) + seed, F.lit(4294967296))
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +26,19 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("h", order_key())
 
 
-def ranked(df: DataFrame, *by: str) -> DataFrame:
-    return df.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id")))
-
-
+def ranked(df: DataFrame, *by: str, key: str = "doc_id") -> DataFrame:
+    """``df`` with r, a row's place from 1 among the rows that agree in ``by``, in the order of h and the key. A group is
+    cut into ``STRETCHES`` stretches of h; rows are numbered within a stretch and moved up by the stretches before."""
+    keys = [F.col(c).alias(f"_{c}") for c in by]
+    cut = df.withColumn("_p", F.floor(F.col("h") * STRETCHES / 4294967296))
+    past = Window.partitionBy(*(f"_{c}" for c in by)).orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.groupBy(*keys, F.col("_p").alias("_q")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(past), F.lit(0)))
+    same = F.col("_p") == F.col("_q")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    own = Window.partitionBy(*by, "_p").orderBy("h", key)
+    out = cut.withColumn("_k", F.row_number().over(own)).join(before, same)
+    return out.withColumn("r", F.col("_k") + F.col("_before")).drop("_p", "_q", "_n", "_before", "_k", *(f"_{c}" for c in by))
 
 
 @query(ROWS_SQL + ", c AS (SELECT source, count(*) AS c FROM d GROUP BY source), q AS (SELECT greatest(quantile_cont(c, .75)::INT, quantile_cont(c, .5)::INT, 10) AS cap FROM c) SELECT doc_id, source FROM d, q QUALIFY row_number() OVER (PARTITION BY source ORDER BY h, doc_id) <= any_value(cap) OVER ()")
