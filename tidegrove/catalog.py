@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import registry
 from .functions import evidence, judging, parsing, reasoning, scoring, text  # noqa: F401
 from .operators import algebra, balancing, comparisons, cross, enumerations, generators, groupstats, held_out, local_changes, preparation, resampling, rollouts, sampling, segments, selection, series  # noqa: F401
-from .plans import inference, reports, texts  # noqa: F401
+from .plans import evaluation, inference, reports, texts  # noqa: F401
 from .sources import files  # noqa: F401
 from .streaming import growth  # noqa: F401
 
