@@ -41,7 +41,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_a_test():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"karmarkar_karp", "score_local_events"}  # tested below and in test_scores.py
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"karmarkar_karp", "score_local_events", "seqlen_balanced"}  # tested below and in test_scores.py
 
 
 def test_rounding_nudge_goes_before_the_digits():
@@ -87,3 +87,70 @@ def test_score_parts(spark):
     got = d.select(S.enumeration_verdict(F.col("p"), F.col("g")).alias("e"), F.round(S.set_verdict(F.col("a"), F.col("b")), 4).alias("s")).collect()
     assert [r["e"] for r in got] == [1.0, 1.0, 0.05, 1.0, 0.0, 0.0]
     assert [r["s"] for r in got] == [1.0, 0.4, 0.05, 0.0, 1.0, 0.0]
+
+
+def test_work_is_dealt_evenly(spark):
+    """The lightest-part rule against its bound, and batches under a cap."""
+    from tidegrove.operators.selection import lightest, under_cap
+
+    for sizes in ([], [5], [9] * 10, [100, 1, 1, 1], list(range(1, 60))):
+        loads = lambda parts, k: [sum(n for n, p in zip(sizes, parts, strict=True) if p == j) for j in range(k)]
+        a = loads(lightest(sizes, 3), 3)
+        assert sum(a) == sum(sizes) and max(a) - min(a) <= max(sizes, default=0)
+        parts = under_cap(sizes, 50)
+        b = loads(parts, max(parts, default=-1) + 1)
+        assert sum(b) == sum(sizes) and all(x <= max(50, *sizes) for x in b)
+    before, after = (catalog.queries()[n](spark, DIR).collect() for n in ("seqlen_unbalance", "seqlen_balanced"))
+    assert {r["chunk"]: r["mean"] for r in before} == {r["chunk"]: r["mean"] for r in after}
+    assert all(a["hi"] - a["lo"] <= b["hi"] - b["lo"] for a, b in zip(sorted(after), sorted(before), strict=True))
+
+
+def test_ids_of_any_size_have_an_order(spark):
+    from tidegrove.operators.sampling import order_key, ranked
+
+    rows = [(k, g) for k, g in [(4_000_000_000, "a"), (10**12, "a"), (-(2**63), "a"), (2**63 - 1, None), (5, None), (None, "a")]] + [(k, "hot") for k in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id bigint, g string").withColumn("h", order_key())
+    got = ranked(d.where("doc_id is not null"), "g").collect()
+    assert len(got) == len(rows) - 1
+    for g in ("a", None, "hot"):
+        own = sorted((r["h"], r["doc_id"], r["r"]) for r in got if r["g"] == g)
+        assert [r for _, _, r in own] == list(range(1, len(own) + 1))
+
+
+def test_channels_stay_few(spark):
+    """Pairs grow in proportion to the series: a sample has five channels whatever the input."""
+    p = catalog.queries()["cross_stat_ratio"](spark, DIR).groupBy("sample").count().agg({"count": "max"}).first()[0]
+    assert p <= 10
+
+
+def test_assertions_fail_the_job(spark):
+    from pyspark.sql import functions as F
+
+    from tidegrove.operators.preparation import must_hold, with_series
+
+    d = spark.createDataFrame([(1,), (2,)], "k int")
+    assert must_hold(d, small=F.col("k") < 3).count() == 2
+    for bad in (must_hold(d, small=F.col("k") < 2), d.select(with_series(F.lit("<ts>"), F.array(F.array(F.lit(1.0)), F.array(F.lit(2.0)))))):
+        with pytest.raises(Exception):  # noqa: B017
+            bad.collect()
+
+
+def test_registries():
+    from tidegrove.plans.extension import Registry
+
+    r = Registry("thing")
+    f = r("a")(lambda: 1)
+    assert r["a"] is f
+    with pytest.raises(ValueError):
+        r("a")(lambda: 2)
+    with pytest.raises(KeyError):
+        r["b"]
+
+
+def test_user_code_by_path(tmp_path):
+    from tidegrove.plans.extension import load
+
+    (tmp_path / "x.py").write_text("def f(a):\n    return a + 1\n")
+    assert load(str(tmp_path / "x.py"), "f")(1) == 2
+    with pytest.raises(AttributeError):
+        load(str(tmp_path / "x.py"), "g")

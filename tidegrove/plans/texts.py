@@ -19,6 +19,10 @@ TEMPLATES = {
     "mean": ["What is the mean of {metric}?", "Over all {n} points, what does {metric} average?", "Give the average value of {metric}."],
     "halves": ["Is the first half of {metric} higher than the second on average?", "Does {metric} have the larger mean before point {mid}?"],
     "range": ["How far apart are the largest and smallest value of {metric}?", "What range does {metric} cover over its {n} points?"],
+    "largest": ["What is the largest value of {metric}?", "How high does {metric} rise?"],
+    "smallest": ["What is the smallest value of {metric}?", "How low does {metric} fall?"],
+    "level": ["Does {metric} lie above 50 on average?", "Over its {n} points, is the mean of {metric} over 50?"],
+    "change": ["By how much do the means of the two halves of {metric} differ?", "How far does the mean of {metric} move at point {mid}?"],
 }
 
 
@@ -57,12 +61,12 @@ def _rows(spark, sf_dir):
     return p.withColumn("mid", HALF())
 
 
-@query(TEXT_SQL + "SELECT sid, kind, replace(replace(replace(q, '{metric}', 'metric ' || sid), '{n}', n::VARCHAR), '{mid}', mid::VARCHAR) AS question, answer FROM (" + " UNION ALL ".join(f"SELECT sid, n, mid, '{k}' AS kind, {_choice(k)} AS q, {a} AS answer FROM t" for k, a in (("mean", "printf('%.2f', mean)"), ("halves", "CASE WHEN h1 > h2 THEN 'yes' ELSE 'no' END"), ("range", "printf('%.2f', r)"))) + ")")
+@query(TEXT_SQL + "SELECT sid, kind, replace(replace(replace(q, '{metric}', 'metric ' || sid), '{n}', n::VARCHAR), '{mid}', mid::VARCHAR) AS question, answer FROM (" + " UNION ALL ".join(f"SELECT sid, n, mid, '{k}' AS kind, {_choice(k)} AS q, {a} AS answer FROM t" for k, a in (("mean", "printf('%.2f', mean)"), ("halves", "CASE WHEN h1 > h2 THEN 'yes' ELSE 'no' END"), ("range", "printf('%.2f', r)"), ("largest", "printf('%.2f', hi)"), ("smallest", "printf('%.2f', lo)"), ("level", "CASE WHEN mean > 50 THEN 'yes' ELSE 'no' END"), ("change", "printf('%.2f', round(abs(h1 - h2), 2))"))) + ")")
 def made_questions(spark, sf_dir):
-    """Three questions about each series, with their answers."""
+    """A question of each kind about each series, with its answer."""
     t = _rows(spark, sf_dir)
     fields = {"metric": F.concat(F.lit("metric "), F.col("sid")), "n": F.col("n"), "mid": F.col("mid")}
-    answers = {"mean": F.format_string("%.2f", "mean"), "halves": F.when(F.col("h1") > F.col("h2"), "yes").otherwise("no"), "range": F.format_string("%.2f", "r")}
+    answers = {"mean": F.format_string("%.2f", "mean"), "halves": F.when(F.col("h1") > F.col("h2"), "yes").otherwise("no"), "range": F.format_string("%.2f", "r"), "largest": F.format_string("%.2f", "hi"), "smallest": F.format_string("%.2f", "lo"), "level": F.when(F.col("mean") > 50, "yes").otherwise("no"), "change": F.format_string("%.2f", rnd(F.abs(F.col("h1") - F.col("h2")), 2))}
     rows = F.array(*(F.struct(F.lit(k).alias("kind"), fill(pick(k, v), fields).alias("question"), answers[k].alias("answer")) for k, v in TEMPLATES.items()))
     return t.select("sid", F.inline(rows))
 
@@ -74,3 +78,17 @@ def made_thoughts(spark, sf_dir):
     said = F.when(a > b, "first half").when(a < b, "second half").otherwise("equal")
     text = thought(F.format_string("first_half_mean=%.2f second_half_mean=%.2f", a, b), F.concat(F.lit("halves: "), compared(a, b)), answer=said)
     return _rows(spark, sf_dir).select("sid", text.alias("thought")).withColumn("coherency", half_comparison(F.col("thought")))
+
+
+@query(TEXT_SQL + "SELECT sid, kind, '<think>' || chr(10) || data || chr(10) || '===' || chr(10) || step || chr(10) || 'answer: ' || answer || chr(10) || '</think>' AS thought FROM (SELECT sid, 'range' AS kind, 'max=' || printf('%.2f', hi) || ' min=' || printf('%.2f', lo) AS data, printf('%.2f', hi) || ' - ' || printf('%.2f', lo) || ' = ' || printf('%.2f', r) AS step, printf('%.2f', r) AS answer FROM t UNION ALL SELECT sid, 'level', 'mean=' || printf('%.2f', mean), printf('%.2f', mean) || ' ' || CASE WHEN mean > 50 THEN '>' WHEN mean < 50 THEN '<' ELSE '=' END || ' 50.00 -> ' || CASE WHEN mean > 50 THEN 'met' ELSE 'not met' END, CASE WHEN mean > 50 THEN 'yes' ELSE 'no' END FROM t UNION ALL SELECT sid, 'change', 'first_half_mean=' || printf('%.2f', h1) || ' second_half_mean=' || printf('%.2f', h2), '|' || printf('%.2f', h1) || ' - ' || printf('%.2f', h2) || '| = ' || printf('%.2f', round(abs(h1 - h2), 2)), printf('%.2f', round(abs(h1 - h2), 2)) FROM t)")
+def made_reasoning(spark, sf_dir):
+    """Data, steps and answer in words for three kinds of questions."""
+    two = lambda c: F.format_string("%.2f", c)
+    change = rnd(F.abs(F.col("h1") - F.col("h2")), 2)
+    over = F.col("mean") > 50
+    kinds = {
+        "range": thought(F.format_string("max=%.2f min=%.2f", "hi", "lo"), F.format_string("%.2f - %.2f = %.2f", "hi", "lo", "r"), answer=two("r")),
+        "level": thought(F.concat(F.lit("mean="), two("mean")), F.concat(compared(F.col("mean"), F.lit(50.0)), F.lit(" -> "), F.when(over, "met").otherwise("not met")), answer=F.when(over, "yes").otherwise("no")),
+        "change": thought(F.format_string("first_half_mean=%.2f second_half_mean=%.2f", "h1", "h2"), F.format_string("|%.2f - %.2f| = %.2f", F.col("h1"), F.col("h2"), change), answer=two(change)),
+    }
+    return _rows(spark, sf_dir).select("sid", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), t.alias("thought")) for k, t in kinds.items()))))
