@@ -154,3 +154,43 @@ def test_user_code_by_path(tmp_path):
     assert load(str(tmp_path / "x.py"), "f")(1) == 2
     with pytest.raises(AttributeError):
         load(str(tmp_path / "x.py"), "g")
+
+
+def test_sampling_on_any_rows(spark):
+    """Null kinds and verdicts, ties, repeated rows, clashing columns, empty tables; a kind that holds a third of all rows."""
+    import collections
+
+    from tidegrove.operators import sampling as S
+
+    rows = [(k, "hot", k % 3, 1) for k in range(300)] + [(1000 + k, None, 0 if k < 5 else 1, 1) for k in range(40)] + [(2000 + k, "small", None, 1) for k in range(3)] + [(3000, "one", 2, 1)] * 4
+    d = S.keyed(spark.createDataFrame(rows, "doc_id bigint, kind string, verdict int, size int").repartition(7))
+    count = lambda df, *by: collections.Counter(tuple(r[c] for c in by) for r in df.collect())
+    got = count(S.capped(d, "kind", least=5), "kind")
+    assert got[(None,)] == 40 and got[("small",)] == 3 and got[("one",)] == 4 and got[("hot",)] == 105
+    got = count(S.balanced(d, "kind", "verdict"), "kind", "verdict")
+    assert got == {("hot", 0): 100, ("hot", 1): 100, ("hot", 2): 100, (None, 0): 5, (None, 1): 5, ("small", None): 3, ("one", 2): 4}
+    got = count(S.capped_verdicts(d, "kind", "verdict"), "kind")
+    assert got[("hot",)] == 300 and got[(None,)] == 40
+    assert sum(count(S.spread_over(d, "kind", 50), "kind").values()) == 50
+    got = count(S.in_proportion(d, "kind", 40), "kind")
+    assert sum(got.values()) == 40 and min(got.values()) >= 1 and len(got) == 4
+    for f in (S.capped, lambda x, k: S.balanced(x, k, "verdict"), lambda x, k: S.capped_verdicts(x, k, "verdict"), lambda x, k: S.spread_over(x, k, 9), lambda x, k: S.in_proportion(x, k, 9)):
+        assert f(d.limit(0), "kind").count() == 0
+        assert f(d, "kind").columns == d.columns
+    again = S.capped(d.repartition(3), "kind", least=5)
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, S.capped(d, "kind", least=5).collect()), key=str)
+
+
+def test_estimators_on_any_rows(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tidegrove.operators import groupstats as G
+
+    d = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), ("b", 5.0), (None, 2.0), (None, 2.0)], "g string, s double")
+    w = Window.partitionBy("g")
+    s = F.col("s")
+    cols = [G.normalised(s, w), G.normalised_floored(s, w), G.leave_one_out(s, w), G.leave_one_out_from_sum(s, w), G.less_weighted_mean(s, w, F.lit(1.0))]
+    got = {(r[0], r[1]): [None if x is None else round(x, 3) for x in r[2:]] for r in d.select("g", "s", *cols).collect()}
+    assert got["a", 1.0] == [-0.707, -0.707, -2.0, -2.0, -1.0] and got["a", None] == [None] * 5
+    assert got["b", 5.0] == [5.0, 0.0, 5.0, 0.0, 0.0] and got[None, 2.0] == [0.0, 0.0, 0.0, 0.0, 0.0]

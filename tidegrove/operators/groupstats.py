@@ -6,7 +6,7 @@ a group of one has mean 0 and deviation 1 where the estimator divides by it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import query, rnd, table
@@ -21,22 +21,51 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select(F.col("l_orderkey").alias("g"), F.col("l_linenumber").alias("i"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("q"), (F.col("l_quantity") / 50).alias("s"), F.col("l_extendedprice").alias("len"))
 
 
-def _windowed(name: str, expr, sql: str):
+# Estimators: what a score is worth within its group. ``group`` is the group's window; a null score has a null worth and counts
+# nowhere.
+
+
+def normalised(score: Column, group) -> Column:
+    """By the group's mean and deviation; a group of one by 0 and 1."""
+    n = F.count(score).over(group)
+    return F.when(n == 1, score / (1 + 1e-6)).otherwise((score - F.avg(score).over(group)) / (F.stddev_samp(score).over(group) + 1e-6))
+
+
+def normalised_floored(score: Column, group) -> Column:
+    """The same with the variance held above a floor; a group of one is worth 0."""
+    n = F.count(score).over(group)
+    return F.when(n == 1, 0.0 * score).otherwise((score - F.avg(score).over(group)) / F.sqrt(F.greatest(F.var_samp(score).over(group), F.lit(1e-6))))
+
+
+def leave_one_out(score: Column, group) -> Column:
+    """Less the mean of the others; a group of one keeps its score."""
+    n = F.count(score).over(group)
+    return F.when(n == 1, score).otherwise(score * n / (n - 1) - F.avg(score).over(group) * n / (n - 1))
+
+
+def leave_one_out_from_sum(score: Column, group) -> Column:
+    """The same from the group's sum; a group of one is worth 0."""
+    n = F.count(score).over(group)
+    return F.when(n == 1, 0.0 * score).otherwise((n * score - F.sum(score).over(group)) / F.greatest(n - 1, F.lit(1)))
+
+
+def less_weighted_mean(score: Column, group, weight: Column) -> Column:
+    """Less the group's mean weighted by length."""
+    return score - F.try_divide(F.sum(weight * score).over(group), F.sum(F.when(score.isNotNull(), weight)).over(group))
+
+
+def _windowed(name: str, worth, sql: str):
     def run(spark, sf_dir):
-        return scores(spark, sf_dir).select(*KEYS, rnd(expr(), 4).alias("adv"))
+        return scores(spark, sf_dir).select(*KEYS, rnd(worth(F.col("s"), G()), 4).alias("adv"))
 
     query(SCORE_SQL + f"SELECT g, i, p, q, round({sql}, 4) AS adv FROM w", name)(run)
 
 
-_s = lambda: F.col("s")
-_c = lambda: F.count(F.lit(1)).over(G())
-_mu = lambda: F.avg("s").over(G())
-_sd = lambda: F.stddev_samp("s").over(G())
-_windowed("grpo_advantage", lambda: F.when(_c() == 1, _s() / (1 + 1e-6)).otherwise((_s() - _mu()) / (_sd() + 1e-6)), "CASE WHEN c = 1 THEN s / (1 + 1e-6) ELSE (s - mu) / (sd + 1e-6) END")
-_windowed("grpo_vectorized", lambda: F.when(_c() == 1, 0.0).otherwise((_s() - _mu()) / F.sqrt(F.greatest(F.var_samp("s").over(G()), F.lit(1e-6)))), "CASE WHEN c = 1 THEN 0 ELSE (s - mu) / sqrt(greatest(va, 1e-6)) END")
-_windowed("rloo", lambda: F.when(_c() == 1, _s()).otherwise(_s() * _c() / (_c() - 1) - _mu() * _c() / (_c() - 1)), "CASE WHEN c = 1 THEN s ELSE s * c / (c - 1) - mu * c / (c - 1) END")
-_windowed("rloo_vectorized", lambda: F.when(_c() == 1, 0.0).otherwise((_c() * _s() - F.sum("s").over(G())) / F.greatest(_c() - 1, F.lit(1))), "CASE WHEN c = 1 THEN 0 ELSE (c * s - t) / greatest(c - 1, 1) END")
-_windowed("opo", lambda: _s() - F.sum(_s() * F.col("len")).over(G()) / F.sum("len").over(G()), "s - ob")
+_windowed("grpo_advantage", normalised, "CASE WHEN c = 1 THEN s / (1 + 1e-6) ELSE (s - mu) / (sd + 1e-6) END")
+_windowed("grpo_vectorized", normalised_floored, "CASE WHEN c = 1 THEN 0 ELSE (s - mu) / sqrt(greatest(va, 1e-6)) END")
+_windowed("rloo", leave_one_out, "CASE WHEN c = 1 THEN s ELSE s * c / (c - 1) - mu * c / (c - 1) END")
+_windowed("rloo_vectorized", leave_one_out_from_sum, "CASE WHEN c = 1 THEN 0 ELSE (c * s - t) / greatest(c - 1, 1) END")
+_windowed("opo", lambda s, g: less_weighted_mean(s, g, F.col("len")), "s - ob")
 
 
 @query(SCORE_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY s DESC, i) AS k, lead(s) OVER (PARTITION BY g ORDER BY s DESC, i) AS s2 FROM w WHERE c >= 2) SELECT g, i, round(s - s2, 4) AS adv FROM r WHERE k = 1")

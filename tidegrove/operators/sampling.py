@@ -23,7 +23,7 @@ def order_key(column: str = "doc_id", seed: int = SEED) -> Column:
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
-    return d.withColumn("h", order_key())
+    return keyed(d)
 
 
 def ranked(df: DataFrame, *by: str, key: str = "doc_id") -> DataFrame:
@@ -41,36 +41,79 @@ def ranked(df: DataFrame, *by: str, key: str = "doc_id") -> DataFrame:
     return out.withColumn("r", F.col("_k") + F.col("_before")).drop("_p", "_q", "_n", "_before", "_k", *(f"_{c}" for c in by))
 
 
+def keyed(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``df`` with its order key h."""
+    return df.withColumn("h", order_key(key))
+
+
+def _sizes(df: DataFrame, *by: str) -> DataFrame:
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+
+
+def _by(df: DataFrame, limits: DataFrame, by: str) -> DataFrame:
+    """``df`` with the limits of each row's kind; kinds are few, and a null one is a kind."""
+    other = limits.withColumnRenamed(by, "_by")
+    return df.join(F.broadcast(other), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+
+
+def capped(df: DataFrame, by: str, key: str = "doc_id", least: int = 10) -> DataFrame:
+    """The rows of ``df`` (with h), of each kind at most so many: the larger of the third quartile and the median of the kinds'
+    sizes, or ``least``."""
+    cap = _sizes(df, by).agg(F.greatest(rnd(F.expr("percentile(_size, 0.75)")), rnd(F.expr("percentile(_size, 0.5)")), F.lit(least)).alias("_cap"))
+    return ranked(df, by, key=key).join(F.broadcast(cap)).where("r <= _cap").drop("r", "_cap")  # one row
+
+
+def balanced(df: DataFrame, by: str, verdict: str, key: str = "doc_id") -> DataFrame:
+    """Every verdict of a kind down to the rarest one's size; kinds with one verdict stay as they are, and so do rows without
+    one."""
+    told = df.where(F.col(verdict).isNotNull())
+    m = _sizes(told, by, verdict).groupBy(by).agg(F.min("_size").alias("_m"), F.count(F.lit(1)).alias("_k"))
+    kept = _by(ranked(told, by, verdict, key=key), m, by).where("_k < 2 OR r <= _m").drop("r", "_m", "_k")
+    return kept.unionByName(df.where(F.col(verdict).isNull()))
+
+
+def capped_verdicts(df: DataFrame, by: str, verdict: str, key: str = "doc_id", times: int = 2, least: int = 3) -> DataFrame:
+    """Of each verdict of a kind at most ``times`` the median verdict's size, or ``least``."""
+    m = _sizes(df, by, verdict).groupBy(by).agg(F.greatest(F.expr("percentile(_size, 0.5)") * times, F.lit(least)).alias("_cap"))
+    return _by(ranked(df, by, verdict, key=key), m, by).where("r <= _cap").drop("r", "_cap")
+
+
+def spread_over(df: DataFrame, by: str, budget: int, key: str = "doc_id") -> DataFrame:
+    """``budget`` rows: an equal part of it for each kind, then the next rows in order until it is used up."""
+    per = df.select(by).distinct().agg(F.floor(F.lit(budget) / F.count(F.lit(1))).alias("_per"))
+    r = ranked(df, by, key=key).join(F.broadcast(per)).withColumn("_first", F.col("r") <= F.col("_per"))  # one row
+    return r.orderBy(F.desc("_first"), "h", key).limit(budget).drop("r", "_per", "_first")
+
+
+def in_proportion(df: DataFrame, by: str, total: int, key: str = "doc_id") -> DataFrame:
+    """One row of every kind, the rest of ``total`` in proportion to what is left of it, by largest remainders."""
+    c = _sizes(df, by)
+    t = c.agg(F.sum("_size").alias("_t"), F.count(F.lit(1)).alias("_k"))
+    share = F.coalesce(F.try_divide((F.col("_size") - 1) * (total - F.col("_k")), F.col("_t") - F.col("_k")), F.lit(0.0))
+    f = c.join(F.broadcast(t)).withColumn("_q", 1 + F.floor(share)).withColumn("_frac", share - F.floor(share))  # one row
+    every = Window.partitionBy(F.lit(0))  # a row a kind
+    g = f.withColumn("_quota", F.col("_q") + F.when(F.row_number().over(every.orderBy(F.desc("_frac"), by)) <= total - F.sum("_q").over(every), 1).otherwise(0))
+    return _by(ranked(df, by, key=key), g.select(by, "_quota"), by).where("r <= _quota").drop("r", "_quota")
+
+
 @query(ROWS_SQL + ", c AS (SELECT source, count(*) AS c FROM d GROUP BY source), q AS (SELECT greatest(quantile_cont(c, .75)::INT, quantile_cont(c, .5)::INT, 10) AS cap FROM c) SELECT doc_id, source FROM d, q QUALIFY row_number() OVER (PARTITION BY source ORDER BY h, doc_id) <= any_value(cap) OVER ()")
-def cap_per_type(spark, sf_dir, least: int = 10):
-    """At most so many rows a type: the larger of the third quartile and the median of the types' sizes, or ``least``."""
-    d = rows(spark, sf_dir)
-    cap = d.groupBy("source").count().agg(F.greatest(rnd(F.expr("percentile(count, 0.75)")), rnd(F.expr("percentile(count, 0.5)")), F.lit(least)).alias("cap"))
-    return ranked(d, "source").join(F.broadcast(cap)).where("r <= cap").select("doc_id", "source")  # one row
+def cap_per_type(spark, sf_dir):
+    return capped(rows(spark, sf_dir), "source").select("doc_id", "source")
 
 
 @query(ROWS_SQL + ", c AS (SELECT source, quality, count(*) AS c FROM d GROUP BY ALL), m AS (SELECT source, min(c) AS m, count(*) AS k FROM c GROUP BY source) SELECT doc_id, source, quality FROM d JOIN m USING (source) QUALIFY k < 2 OR row_number() OVER (PARTITION BY source, quality ORDER BY h, doc_id) <= m")
 def balance_binary(spark, sf_dir):
-    """Every verdict of a type down to the rarest one's size; types with one verdict stay."""
-    d = rows(spark, sf_dir)
-    m = d.groupBy("source", "quality").count().groupBy("source").agg(F.min("count").alias("m"), F.count(F.lit(1)).alias("k"))
-    return ranked(d, "source", "quality").join(m, "source").where("k < 2 OR r <= m").select("doc_id", "source", "quality")
+    return balanced(rows(spark, sf_dir), "source", "quality").select("doc_id", "source", "quality")
 
 
 @query(ROWS_SQL + ", c AS (SELECT source, n_chars // 500 AS v, count(*) AS c FROM d GROUP BY ALL), m AS (SELECT source, greatest(median(c) * 2, 3) AS cap FROM c GROUP BY source) SELECT doc_id FROM d JOIN m USING (source) QUALIFY row_number() OVER (PARTITION BY source, n_chars // 500 ORDER BY h, doc_id) <= cap")
 def cap_numeric_verdict(spark, sf_dir):
-    d = rows(spark, sf_dir).withColumn("v", F.floor(F.col("n_chars") / 500))
-    m = d.groupBy("source", "v").count().groupBy("source").agg(F.greatest(F.expr("percentile(count, 0.5)") * 2, F.lit(3)).alias("cap"))
-    return ranked(d, "source", "v").join(m, "source").where("r <= cap").select("doc_id")
+    return capped_verdicts(rows(spark, sf_dir).withColumn("v", F.floor(F.col("n_chars") / 500)), "source", "v").select("doc_id")
 
 
 @query(ROWS_SQL + ", k AS (SELECT 100 // count(DISTINCT source) AS per FROM d), r AS (SELECT doc_id, h, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) <= (SELECT per FROM k) AS first FROM d) SELECT doc_id FROM r ORDER BY first DESC, h, doc_id LIMIT 100")
 def stratified_val_sample(spark, sf_dir, budget: int = 100):
-    """An equal part of the budget for each type, then the next rows in order until it is used up: rows not taken yet."""
-    d = rows(spark, sf_dir)
-    per = d.agg(F.floor(F.lit(budget) / F.countDistinct("source")).alias("per"))
-    r = ranked(d, "source").join(F.broadcast(per)).withColumn("first", F.col("r") <= F.col("per"))  # one row
-    return r.orderBy(F.desc("first"), "h", "doc_id").limit(budget).select("doc_id")
+    return spread_over(rows(spark, sf_dir), "source", budget).select("doc_id")
 
 
 @query(ROWS_SQL + """, c AS (SELECT source, count(*) AS c FROM d GROUP BY source), t AS (SELECT sum(c) AS t, count(*) AS k FROM c),
@@ -78,15 +121,7 @@ f AS (SELECT source, c, 1 + floor((c - 1) * (100 - k) / (t - k)::DOUBLE) AS q, (
 g AS (SELECT source, (q + CASE WHEN row_number() OVER (ORDER BY frac DESC, source) <= 100 - sum(q) OVER () THEN 1 ELSE 0 END)::BIGINT AS quota FROM f)
 SELECT doc_id, source FROM d JOIN g USING (source) QUALIFY row_number() OVER (PARTITION BY source ORDER BY h, doc_id) <= quota""")
 def stratified_proportional(spark, sf_dir, total: int = 100):
-    """One row of every type, the rest in proportion to what is left of it, by largest remainders."""
-    d = rows(spark, sf_dir)
-    c = d.groupBy("source").agg(F.count(F.lit(1)).alias("c"))
-    t = c.agg(F.sum("c").alias("t"), F.count(F.lit(1)).alias("k"))
-    share = (F.col("c") - 1) * (total - F.col("k")) / (F.col("t") - F.col("k"))
-    f = c.join(F.broadcast(t)).select("source", (1 + F.floor(share)).alias("q"), (share - F.floor(share)).alias("frac"))
-    every = Window.partitionBy(F.lit(0))  # a row a type
-    g = f.withColumn("quota", F.col("q") + F.when(F.row_number().over(every.orderBy(F.desc("frac"), "source")) <= total - F.sum("q").over(every), 1).otherwise(0))
-    return ranked(d, "source").join(F.broadcast(g.select("source", "quota")), "source").where("r <= quota").select("doc_id", "source")
+    return in_proportion(rows(spark, sf_dir), "source", total).select("doc_id", "source")
 
 
 @query(ROWS_SQL + """, c AS (SELECT source, count(*) AS c FROM d GROUP BY source), o AS (SELECT source, c, row_number() OVER (ORDER BY c, source) AS i, count(*) OVER () AS k FROM c),
