@@ -382,3 +382,29 @@ def test_pipeline_keeps_and_drops(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == list(range(30))
+
+
+def test_finished_tables_go(spark):
+    """What is written on the way is removed, but for what the result reads."""
+    from tidegrove.llm import shared
+
+    base = shared.base_dir(spark)
+    d = spark.createDataFrame([(k, prose(60, k % 9)) for k in range(30)], "doc_id bigint, text string")
+    before = set(os.listdir(base))
+    assert near_copies.one_of_each(d).count() == 9
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(base)) - before} <= {"copies-keep", "cc-links"}
+
+
+def test_files_of_a_remote_store_are_read(spark, monkeypatch):
+    from tidegrove.llm import shared
+
+    path = shared.new_dir(spark, "bytes")
+    shared.write_file(path, [b"abc", b"def"])
+    here = shared.mapped(path).tobytes()
+
+    class Store:
+        def open_input_stream(self, p):
+            return open(p, "rb")
+
+    monkeypatch.setattr(shared, "_filesystem", lambda uri: (Store(), uri))
+    assert here == shared.mapped(path).tobytes() == b"abcdef"

@@ -3,7 +3,7 @@
 Every round each node points at its least neighbour (or itself), pointers are followed twice, and the graph shrinks to
 the nodes pointed at. All groupings are sums and minima that Spark combines before its shuffle, and the joins have a
 unique side, so that adaptive execution can split the side of a node with very many edges. Each round's tables are
-written below the shared folder.
+written below the shared folder, and removed when the next round's are.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, free
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,6 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
         point = cut(point, "cc-point")
         hop = point.select(F.col("a").alias("p"), F.col("p").alias("q"))
         jump = cut(point.join(hop, "p").select("a", F.col("q").alias("root")), "cc-jump")
+        old, held = links, labels
         if labels is None:
             labels = jump.select(F.col("a").alias("node"), "root")
         else:
@@ -35,4 +36,5 @@ def components(edges: DataFrame) -> DataFrame:
         right = jump.select(F.col("a").alias("b"), F.col("root").alias("y"))
         links = links.join(left, "a").join(right, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         links = cut(links, "cc-links")
+        free(old, held, point, jump)
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -21,7 +21,6 @@ empty table gives an empty one.
 
 from __future__ import annotations
 
-import mmap
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import cut, mappable, new_dir, write_file
+from .shared import cut, free, mapped, new_dir, write_file
 
 END, START = np.uint64(0xE5D0000000000001), np.uint64(0x57A2000000000001)
 #: Bigrams that a task holds before it sorts and sends them; documents a bucket.
@@ -242,6 +241,7 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
     by_word = merged.where("kind <> 'stats'").drop("stats", "d").repartition(1 << min(bits, TASK_BITS), "wbucket")
     done = cut(by_word.groupBy("wbucket").applyInArrow(_merge_words(folder), "stats array<bigint>"), "kneser-ney-words")
     vocab, words, _, u1, u2, u3, u4 = _sum_stats(done, 7)
+    free(merged, done)
     return {"folder": folder, "n_starts": n_docs, "bits": bits, "hot": layout.hot, "vocab": vocab, "total": words, "types": types, "d2": discounts(n1, n2, n3, n4), "d1": discounts(u1, u2, u3, u4), "counts1": (u1, u2, vocab - u1 - u2)}
 
 
@@ -272,8 +272,7 @@ class Model:
     def _file(self, name: str, kinds: tuple) -> tuple[np.ndarray, ...]:
         if name not in self.files:
             try:
-                with open(mappable(f"{self.spec['folder']}/{name}"), "rb") as f:  # the map keeps no file open
-                    raw = np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), np.uint8)
+                raw = mapped(f"{self.spec['folder']}/{name}")
             except FileNotFoundError:  # a bucket without entries has no file
                 raw = np.zeros(0, np.uint8)
             n = len(raw) // sum(np.dtype(k).itemsize for k in kinds)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut
+from .shared import cut, free
 
 LEAST, STRETCH = 4, 1024
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -100,15 +100,15 @@ def _latest_before(quotes: DataFrame, pieces: DataFrame) -> DataFrame:
 
 
 def link(messages: DataFrame) -> DataFrame:
-    """(c, t, role, own, how, pc, pt, n_quotes, n_linked, position): each message and the conversation and turn that it
+    """A table (c, t, role, own, how, pc, pt, n_quotes, n_linked, position): each message and the conversation and turn that it
     answers; how is quote, turn or root."""
     fields = [F.coalesce(F.col("conv_id").cast("bigint"), F.lit(_NO_CONV)).alias("c"), F.coalesce(F.col("turn").cast("bigint"), F.lit(_NO_TURN)).alias("t"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")]
     single = messages.select(*fields).groupBy("c", "t").agg(F.min(F.struct("role", "text")).alias("m")).select("c", "t", "m.role", "m.text")
     parsed = cut(split_quotes(single).drop("text"), "quotes")
     quotes = parsed.select("c", "t", F.explode("quoted").alias("q")).where(_words(F.col("q.passage")) >= LEAST)
-    quotes = cut(quotes.select("c", "t", "q.level", _digest(F.col("q.passage")).alias("digest"), F.xxhash64("q.head").alias("head"), "q.n"), "quotes-asked")
-    pieces = cut(_pieces(parsed, quotes), "quotes-pieces")
-    quotes = quotes.drop("head", "n")
+    asked = cut(quotes.select("c", "t", "q.level", _digest(F.col("q.passage")).alias("digest"), F.xxhash64("q.head").alias("head"), "q.n"), "quotes-asked")
+    pieces = cut(_pieces(parsed, asked), "quotes-pieces")
+    quotes = asked.drop("head", "n")
     earliest = pieces.groupBy("digest").agg(F.min(F.struct("c", "t")).alias("e"))
     linked = _latest_before(quotes, pieces).join(earliest, "digest", "left")
     parent = F.when(F.col("before").isNotNull(), F.struct("c", F.col("before").alias("t"))).when(F.col("e.c") < F.col("c"), F.col("e"))
@@ -117,7 +117,10 @@ def link(messages: DataFrame) -> DataFrame:
     rows = _with_previous(parsed.select("c", "t", "role", "own", F.size("quoted").cast("bigint").alias("n_quotes"))).join(best, ["c", "t"], "left")
     how = F.when(F.col("b.p").isNotNull(), "quote").when(F.col("before").isNotNull(), "turn").otherwise("root")
     conv, turn = F.when(F.col("b.p").isNotNull(), F.col("b.p.c")).when(F.col("before").isNotNull(), F.col("c")), F.coalesce("b.p.t", "before")
-    return rows.select("c", "t", "role", "own", how.alias("how"), conv.alias("pc"), turn.alias("pt"), "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"), "position")
+    out = rows.select("c", "t", "role", "own", how.alias("how"), conv.alias("pc"), turn.alias("pt"), "n_quotes", F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"), "position")
+    out = cut(out, "quotes-linked")
+    free(parsed, asked, pieces)
+    return out
 
 
 def _with_previous(rows: DataFrame) -> DataFrame:
@@ -138,7 +141,7 @@ def link_conversations(messages: DataFrame) -> DataFrame:
     """Every message, linked, with thread_conv, the least conversation of those that links connect, and position, the place
     in the own conversation. Ordered by (thread_conv, conv_id, position), nulls last, every message stands behind what it
     answers: links go to earlier turns or to smaller conversations."""
-    linked = cut(link(messages), "quotes-linked")
+    linked = link(messages)
     roots = components(linked.where("pc <> c").select(F.col("c").alias("a"), F.col("pc").alias("b")).distinct())
     threads = roots.join(roots.groupBy("root").agg(F.min("node").alias("thread")), "root").select(F.col("node").alias("c"), "thread")
     rows = linked.join(threads, "c", "left").withColumn("thread", F.coalesce("thread", "c"))

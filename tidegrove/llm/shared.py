@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import mmap
 import os
-import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,7 +35,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def free(*tables: DataFrame | None) -> None:
+    """Removes tables that ``cut`` wrote, when all that was made of them is written itself."""
+    for df in tables:
+        if df is not None and getattr(df, "_cut", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            df._cut = None
 
 
 def _filesystem(uri: str):
@@ -64,15 +76,11 @@ def read_file(uri: str):
     return files.open_input_stream(path, compression=None)
 
 
-def mappable(uri: str) -> str:
-    """A path that can be memory-mapped: the file itself, or a copy in the worker's own folder if the store is remote."""
+def mapped(uri: str) -> np.ndarray:
+    """The bytes of a file: memory-mapped if the store is a file system, else read. The map keeps no file open."""
     files, path = _filesystem(uri)
-    if type(files).__name__ == "LocalFileSystem":
-        return path
-    local = os.path.join(tempfile.gettempdir(), "tidegrove-map", uuid.uuid5(uuid.NAMESPACE_URL, uri).hex)
-    if not os.path.exists(local):
-        os.makedirs(os.path.dirname(local), exist_ok=True)
-        with files.open_input_stream(path) as source, open(scratch := f"{local}.{uuid.uuid4().hex}", "wb") as out:
-            shutil.copyfileobj(source, out, 1 << 22)
-        os.replace(scratch, local)
-    return local
+    if type(files).__name__ != "LocalFileSystem":
+        with files.open_input_stream(path) as source:
+            return np.frombuffer(source.read(), np.uint8)
+    with open(path, "rb") as f:
+        return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), np.uint8)

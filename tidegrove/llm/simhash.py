@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
 from .components import components
-from .shared import cut
+from .shared import cut, free
 
 BUDGET, SHINGLE, SEED = 3, 3, 42
 #: Fingerprints of one prefix that one task holds of each side.
@@ -192,6 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(near_links(marks.sparkSession, least.select("fp")))
     known = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     known = cut(known, "simhash-root")
+    free(least, roots)
     heads = known.groupBy("root").agg(F.min("least").alias("component_id"))
     named = known.join(heads, "root").select("fp", "component_id")
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
