@@ -88,13 +88,16 @@ RULES = {"polymorphic": polymorphic, "categorical": categorical, "set": set_of,
 
 
 def score(prediction: Column, truth: Column, kind: Column) -> Column:
-    """0 to 1 for an answer of any kind."""
-    p, g = think(prediction), think(truth)
-    a, b = answer_line(p), answer_line(g)
-    out = F.when(g.isNull(), F.raise_error("a truth has no reasoning block").cast("double")).when(p.isNull(), 0.0).when(kind.startswith(HELD_OUT), 0.5)
-    for family, rule in RULES.items():
-        out = out.when(kind.isin(*FAMILIES[family]), rule(a, b))
-    return clamped(out.otherwise(F.raise_error(F.concat(F.lit("unknown kind "), F.coalesce(kind, F.lit("null")))).cast("double")))
+    """0 to 1 for an answer of any kind. Blocks and answer lines are read once, whatever the number of rules."""
+
+    def rated(x: Column) -> Column:
+        out = F.when(x["g"].isNull(), F.raise_error("a truth has no reasoning block").cast("double")).when(x["p"].isNull(), 0.0).when(kind.startswith(HELD_OUT), 0.5)
+        for family, rule in RULES.items():
+            out = out.when(kind.isin(*FAMILIES[family]), rule(x["a"], x["b"]))
+        return R.let(out.otherwise(F.raise_error(F.concat(F.lit("unknown kind "), F.coalesce(kind, F.lit("null")))).cast("double")), clamped)
+
+    blocks = F.struct(think(prediction).alias("p"), think(truth).alias("g"))
+    return R.let(R.let(blocks, lambda t: F.struct(t["p"].alias("p"), t["g"].alias("g"), answer_line(t["p"]).alias("a"), answer_line(t["g"]).alias("b"))), rated)
 
 
 def _think(*parts) -> Column:
@@ -138,8 +141,8 @@ def near(p: Column, g: Column, scale: Column, k: float) -> Column:
 
 def mean_of(parts: Column) -> Column:
     """The mean of an array's members that are there; null if none is."""
-    there = F.filter(parts, lambda x: x.isNotNull())
-    return F.when(F.size(there) > 0, F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.size(there))
+    mean = lambda there: F.when(F.size(there) > 0, F.aggregate(there, F.lit(0.0), lambda a, x: a + x) / F.size(there))
+    return R.let(F.filter(parts, lambda x: x.isNotNull()), mean)
 
 
 def block_score(p: Column, g: Column) -> Column:
