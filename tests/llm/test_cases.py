@@ -408,3 +408,22 @@ def test_files_of_a_remote_store_are_read(spark, monkeypatch):
 
     monkeypatch.setattr(shared, "_filesystem", lambda uri: (Store(), uri))
     assert here == shared.mapped(path).tobytes() == b"abcdef"
+
+
+@pytest.mark.parametrize("name", ["op8_quality_rules", "op9_license_scan", "op10_warc"])
+def test_queries_equal_sql(spark, name):
+    import duckdb
+
+    from tidegrove.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    for t in ("documents", "pages"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    want = duck.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, folder)
+    assert sorted(got.columns) == sorted(want.columns) and set(queries.oracle_sql()) == {"op8_quality_rules", "op9_license_scan", "op10_warc"}
+    plain = lambda v: round(v, 9) if isinstance(v, float) else v
+    cols = sorted(want.columns)
+    a = sorted((tuple(plain(r[c]) for c in cols) for r in got.collect()), key=repr)
+    assert a == sorted((tuple(plain(r[want.columns.index(c)]) for c in cols) for r in want.fetchall()), key=repr)

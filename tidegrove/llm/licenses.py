@@ -169,7 +169,7 @@ def known_digests(known: dict[str, list[str]] | None = None) -> dict[str, str]:
     return out | stated_digests(known)
 
 
-def stated_digests(known: dict[str, list[str]] | None) -> dict[str, str]:
+def stated_digests(known: dict[str, list[str]] | None = None) -> dict[str, str]:
     return {hashlib.sha256(canonical_text(t).encode()).hexdigest(): name for name, texts in known_texts(known).items() for t in texts}
 
 
