@@ -102,10 +102,11 @@ def offpolicy_metrics(spark, sf_dir):
     return t.join(F.broadcast(s))  # a row each
 
 
-@query(STEP_SQL + ", q AS (SELECT g, abs(avg(s) - 0.5) AS d FROM st GROUP BY g), w AS (SELECT g, pow(d, 2) AS power, CASE WHEN d = (SELECT max(d) FROM q) OR d = (SELECT min(d) FROM q) THEN 1.0 ELSE 0.0 END AS ends FROM q) SELECT g, round(power / (SELECT sum(power) FROM w), 8) AS power, round(ends / (SELECT sum(ends) FROM w), 8) AS ends FROM w")
+@query(STEP_SQL + ", q AS (SELECT g, round(abs(avg(s) - 0.5), 6) AS d FROM st GROUP BY g), w AS (SELECT g, pow(d, 2) AS power, CASE WHEN d = (SELECT max(d) FROM q) OR d = (SELECT min(d) FROM q) THEN 1.0 ELSE 0.0 END AS ends FROM q) SELECT g, round(power / (SELECT sum(power) FROM w), 8) AS power, round(ends / (SELECT sum(ends) FROM w), 8) AS ends FROM w")
 def pf_weights(spark, sf_dir, power: float = 2.0):
-    """Preference weights of answers by the distance of their score from even: a power of it, or its extremes alone."""
-    q = steps(spark, sf_dir).groupBy("g").agg(F.abs(F.avg("s") - 0.5).alias("d"))
+    """Preference weights of answers by the distance of their score from even: a power of it, or its extremes alone. Distances are
+    rounded, so that equal extremes are equal in whatever order they were summed."""
+    q = steps(spark, sf_dir).groupBy("g").agg(rnd(F.abs(F.avg("s") - 0.5), 6).alias("d"))
     b = q.agg(F.max("d").alias("hi"), F.min("d").alias("lo"))
     w = q.join(F.broadcast(b)).select("g", F.pow("d", F.lit(power)).alias("power"), ((F.col("d") == F.col("hi")) | (F.col("d") == F.col("lo"))).cast("double").alias("ends"))  # one row
     total = w.agg(F.sum("power").alias("p"), F.sum("ends").alias("e"))
