@@ -183,38 +183,55 @@ def test_links_with_blocks(spark, block):
     assert len(set(want)) == len(set(got)) and len({*zip(want, got, strict=True)}) == len(set(want))
 
 
-def test_kneser_ney(spark):
-    d = spark.createDataFrame([(i, prose(30 + i % 9, i)) for i in range(120)], "doc_id bigint, text string")
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney(spark, monkeypatch, order):
+    monkeypatch.setattr(kneser_ney, "DOCS_A_BUCKET", 4)  # several buckets, so that few words are hot
+    d = spark.createDataFrame([(i, prose(30 + i % 9, i // 2)) for i in range(120)], "doc_id bigint, text string")
     held = {i for i in range(120) if zlib.crc32(str(i).encode()) % 5 == 1}
-    rows = {r["doc_id"]: r for r in kneser_ney.score_held_out(d).collect()}
-    toks = {i: [*(w.lower() for w in split(prose(30 + i % 9, i))), b"</s>"] for i in range(120)}
-    uni, pair = collections.Counter(), collections.Counter()
+    rows = {r["doc_id"]: r for r in kneser_ney.score_held_out(d, order).collect()}
+    toks = {i: [*(w.lower() for w in split(prose(30 + i % 9, i // 2))), b"</s>"] for i in range(120)}
+    levels = {k: collections.Counter() for k in range(1, order + 1)}
+    uni = collections.Counter()
     for i in set(range(120)) - held:
         uni.update(toks[i])
-        pair.update(zip([b"<s>", *toks[i]], toks[i], strict=False))
+        padded = [b"<s>"] * (order - 1) + toks[i]
+        levels[order].update(tuple(padded[j : j + order]) for j in range(len(toks[i])))
+    for k in range(order - 1, 0, -1):
+        levels[k].update(g[1:] for g in levels[k + 1])
     n, v = sum(uni.values()), len(uni)
-    before = collections.Counter(w for _, w in pair)
-    d2 = (0, *kneser_ney.discounts(*(sum(c == k for c in pair.values()) for k in (1, 2, 3, 4))))
-    d1 = (0, *kneser_ney.discounts(*(sum(c == k for c in before.values()) for k in (1, 2, 3, 4))))
-    total, follow = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0, 0])
-    for (c, _), k in pair.items():
-        total[c] += k
-        follow[c][min(k, 3)] += 1
-    g1 = sum(d1[min(k, 3)] for k in before.values()) / len(pair)
-
-    def p(c, w):
-        low = max(before[w] - d1[min(before[w], 3)], 0) / len(pair) + g1 / (v + 1)
-        if not total[c]:
-            return low
-        return max(pair[c, w] - d2[min(pair[c, w], 3)], 0) / total[c] + sum(d2[k] * follow[c][k] for k in (1, 2, 3)) / total[c] * low
-
-    assert abs(sum(p(b"<s>", w) for w in [*uni, b"unknown"]) - 1) < 1e-9
+    cut_off = {k: (0, *kneser_ney.discounts(*(sum(c == j for c in levels[k].values()) for j in (1, 2, 3, 4)))) for k in levels}
+    total, spare = collections.Counter(), collections.Counter()
+    for k, grams in levels.items():
+        for g, c in grams.items():
+            total[k, g[:-1]] += c
+            spare[k, g[:-1]] += cut_off[k][min(c, 3)]
+
+    def p(g):
+        k = len(g)
+        lower = p(g[1:]) if k > 1 else 1 / (v + 1)
+        size = total[k, g[:-1]]
+        return (max(levels[k][g] - cut_off[k][min(levels[k][g], 3)], 0) + spare[k, g[:-1]] * lower) / size if size else lower
+
+    assert abs(sum(p((b"<s>",) * (order - 1) + (w,)) for w in [*uni, b"unknown"]) - 1) < 1e-9
     for i, r in rows.items():
+        padded = [b"<s>"] * (order - 1) + toks[i]
         assert r["held_out"] == (i in held) and r["train_tokens"] == n and r["n_tokens"] == len(toks[i])
-        assert math.isclose(r["score"], sum(math.log10(p(c, w)) for c, w in zip([b"<s>", *toks[i]], toks[i], strict=False)), rel_tol=1e-9)
+        assert math.isclose(r["score"], sum(math.log10(p(tuple(padded[j : j + order]))) for j in range(len(toks[i]))), rel_tol=1e-9)
         assert math.isclose(r["base_score"], sum(math.log10((uni[w] + 0.5) / (n + 0.5 * (v + 1))) for w in toks[i]), rel_tol=1e-9)
 
 
+def test_sorted_hash_arrays():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 9, 5000):
+        for width in (kneser_ney.LOW, 8):
+            key = np.unique(rng.integers(0, 1 << 64, size, np.uint64))
+            n = rng.integers(1, 600, len(key))
+            table = kneser_ney.Table(np.frombuffer(kneser_ney.pack_table(key, [n], width), np.uint8))
+            at, hit = table.find(key)
+            assert hit.all() and (table.counts(0, at) == n).all()
+            assert not table.find(rng.integers(0, 1 << 64, 300, np.uint64))[1].any()
+
+
 def test_kneser_ney_odd_rows(docs, empty):
     rows = kneser_ney.score_held_out(docs).collect()
     assert len(rows) == docs.count() and all(math.isfinite(r["score"]) for r in rows)
