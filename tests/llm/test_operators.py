@@ -220,6 +220,25 @@ def test_kneser_ney(spark, monkeypatch, order):
         assert math.isclose(r["base_score"], sum(math.log10((uni[w] + 0.5) / (n + 0.5 * (v + 1))) for w in toks[i]), rel_tol=1e-9)
 
 
+def test_kneser_ney_without_training_text(spark):
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 == 1]
+    d = spark.createDataFrame([(i, "one two two" if i % 2 else None) for i in held], "doc_id bigint, text string")
+    rows = kneser_ney.score_held_out(d).collect()
+    assert len(rows) == len(held) and all(r["held_out"] and r["score"] == 0 and r["n_known"] == 0 and r["train_tokens"] == 0 for r in rows)
+    with pytest.raises(ValueError):
+        kneser_ney.train(d, order=4)
+
+
+def test_kneser_ney_one_word_in_a_very_long_text(spark):
+    """A word that is its own context, in a third of all rows and in one text of 300,000 words."""
+    rows = [(i, "same " * (300_000 if i == 0 else 5)) for i in range(20)] + [(20 + i, prose(40, i)) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spec = kneser_ney.train(d)
+    assert spec["total"] == sum(len(t.split()) + 1 for _, t in rows)
+    got = {r["doc_id"]: r for r in kneser_ney.score(d, spec).collect()}
+    assert got[0]["n_tokens"] == 300_001 and got[0]["perplexity"] < 1.01 < got[20]["perplexity"]
+
+
 def test_sorted_hash_arrays():
     rng = np.random.default_rng(5)
     for size in (0, 1, 9, 5000):
