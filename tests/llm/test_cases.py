@@ -422,7 +422,7 @@ def test_queries_equal_sql(spark, name):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
     want = duck.sql(queries.oracle_sql()[name])
     got = queries.queries()[name](spark, folder)
-    assert sorted(got.columns) == sorted(want.columns) and set(queries.oracle_sql()) == {"op8_quality_rules", "op9_license_scan", "op10_warc"}
+    assert sorted(got.columns) == sorted(want.columns) and set(queries.oracle_sql()) == {f"op{k}_{n}" for k, n in ((8, "quality_rules"), (9, "license_scan"), (10, "warc"), (11, "source_divergence"), (12, "merkle_manifest"), (13, "line_dedup"))}
     plain = lambda v: round(v, 9) if isinstance(v, float) else v
     cols = sorted(want.columns)
     a = sorted((tuple(plain(r[c]) for c in cols) for r in got.collect()), key=repr)

@@ -107,10 +107,11 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where words start and end. No word reaches over the border of two texts."""
+def spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end. No word reaches over the border of two texts. ``between`` tells for each byte whether it is
+    outside of words."""
     blank = np.ones(len(data) + 1, bool)
-    blank[:-1] = _SPACE[data]
+    blank[:-1] = between[data]
     word = ~blank[:-1]
     begins, stops = word.copy(), word.copy()
     begins[1:] &= blank[:-2]
