@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from public_tokenizers import PATTERN
@@ -286,56 +287,132 @@ def test_near_copies_equal_brute_force(spark):
     assert kept == {6 * g for g in range(25)} | {150, 152, 154, 156}
 
 
-def test_near_copies_recall_on_the_table():
-    """Pairs of different texts of similarity 0.8 or more in sf0.1, told by their shingles, against the links."""
-    import pyarrow.parquet as pq
-
-    texts = sorted(set(pq.read_table("/root/testdata/sf0.1/documents.parquet").column("text").to_pylist()))
+def shingle_sets(texts):
     (part,) = W.slices(pa.array(texts), 1 << 30)
     owner, value = near_copies.shingles(part)
-    sets = [value[a:b] for a, b in zip(*(np.searchsorted(owner, np.arange(len(texts)) + k) for k in (0, 1)), strict=True)]
-    sig = near_copies.signatures(part)
-    least = collections.defaultdict(list)  # texts of that similarity share one of their twelve least shingles
+    return part, [value[a:b] for a, b in zip(*(np.searchsorted(owner, np.arange(len(texts)) + k) for k in (0, 1)), strict=True)]
+
+
+def jaccard(a, b):
+    return len(np.intersect1d(a, b, True)) / max(1, len(np.union1d(a, b)))
+
+
+def like_pairs(sets):
+    """Pairs of similarity 0.8 or more: such texts share one of their twelve least shingles."""
+    least = collections.defaultdict(list)
     for k, s in enumerate(sets):
         for v in s[:12].tolist():
             least[v].append(k)
-    maybe = {(i, j) for same in least.values() if len(same) < 100 for i in same for j in same if j < i}
-    pairs = [(i, j) for i, j in maybe if len(np.intersect1d(sets[i], sets[j], True)) >= near_copies.SIMILARITY * len(np.union1d(sets[i], sets[j]))]
-    bits = np.unpackbits(np.ascontiguousarray(sig).view(np.uint8), axis=1)
-    drawn = bits[:, near_copies._DRAWN]
+    maybe = {(j, i) for same in least.values() if len(same) < 100 for i in same for j in same if j < i}
+    return [(i, j) for i, j in maybe if jaccard(sets[i], sets[j]) >= near_copies.SIMILARITY]
+
+
+@pytest.mark.parametrize("exact", [6, 12])
+def test_near_copies_recall_on_the_table(exact):
+    """Pairs of different texts of similarity 0.8 or more in sf0.1 against the drawings."""
+    import pyarrow.parquet as pq
+
+    texts = sorted(set(pq.read_table("/root/testdata/sf0.1/documents.parquet").column("text").to_pylist()))
+    part, sets = shingle_sets(texts)
+    bits = np.unpackbits(np.ascontiguousarray(near_copies.signatures(part)).view(np.uint8), axis=1)
+    places = near_copies.drawn_bits(exact)
 
     def found(i, j):
-        apart = drawn[i] != drawn[j]
-        return (~apart[:, : near_copies.EXACT].any(axis=1) & (apart[:, near_copies.EXACT :].sum(axis=1) <= near_copies.WITHIN)).any() and (bits[i] != bits[j]).sum() <= near_copies.BUDGET
+        apart = bits[i][places] != bits[j][places]
+        return (~apart[:, :exact].any(axis=1) & (apart[:, exact:].sum(axis=1) <= near_copies.WITHIN)).any() and (bits[i] != bits[j]).sum() <= near_copies.BUDGET
 
+    pairs = like_pairs(sets)
     assert len(pairs) > 40 and sum(found(i, j) for i, j in pairs) >= 0.9 * len(pairs)
-    unlike = [(i, j) for i, j in (rng.sample(range(len(sets)), 2) for _ in range(5000)) if not len(np.intersect1d(sets[i], sets[j], True)) and len(sets[i]) > 20 and len(sets[j]) > 20]
-    assert len(unlike) > 1000 and not any(found(i, j) for i, j in unlike)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_near_copies_keep_a_cover_of_the_table(spark, sf):
+    """Each text that goes is at 0.8 or more to one that stays; of pairs at 0.8 or more at most a tenth stay whole."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    kept = {r["doc_id"] for r in near_copies.one_of_each(docs).collect()}
+    _, sets = shingle_sets([t for _, t in rows])
+    by_shingle = collections.defaultdict(list)
+    for k, (doc_id, _) in enumerate(rows):
+        if doc_id in kept:
+            for v in sets[k].tolist():
+                by_shingle[v].append(k)
+    gone = [k for k, (doc_id, _) in enumerate(rows) if doc_id not in kept]
+    for k in gone:
+        near = collections.Counter(x for v in sets[k].tolist() for x in by_shingle[v])
+        assert any(jaccard(sets[k], sets[x]) >= near_copies.SIMILARITY for x, _ in near.most_common(5)) or not len(sets[k]), rows[k][0]
+    pairs = [(i, j) for i, j in like_pairs(sets)]
+    assert len(gone) > 50 and sum(rows[i][0] in kept and rows[j][0] in kept for i, j in pairs) <= 0.1 * len(pairs)
+
+
+def test_drawings_grow_slowly():
+    """Copies of a fingerprint: constant to a million texts, then as the 0.24th power of their number."""
+    copies = {n: near_copies.drawings(near_copies.exact_bits(n)) for n in (10**4, 10**5, 10**6, 10**8, 3 * 10**10)}
+    assert copies[10**4] == copies[10**5] == copies[10**6] == 28 and all(copies[n] < 1.25 * 28 * (n / 2**20) ** 0.24 for n in (10**8, 3 * 10**10))
+
+
+def test_copies_do_not_grow_with_the_number_of_texts(spark, monkeypatch):
+    """Rows that reach the tasks, for made fingerprints; with a small block as a stand-in for a large table."""
+    monkeypatch.setattr(near_copies, "LEAST_EXACT", 1)
+    monkeypatch.setattr(near_copies, "_walk_group", lambda most: lambda group: pd.DataFrame({"a": group["id"], "b": pd.array([None] * len(group), "Int64")}))
+    monkeypatch.setattr(near_copies.DataFrame, "distinct", lambda self: self)
+    for n in (2000, 16000):
+        nodes = spark.range(n).select("id", *(F.xxhash64(F.lit(k), "id").alias(f"s{k}") for k in range(4)))
+        found, _ = near_copies.find(nodes, n, 4, 1024, True)
+        assert found.count() <= 1.2 * n * near_copies.drawings(near_copies.exact_bits(n, 1024))
 
 
 @pytest.mark.parametrize("values", [64, 1 << 20])
-def test_linked_equals_brute_force(values):
+@pytest.mark.parametrize("most", [2, 1000])
+def test_candidates_equal_brute_force(values, most):
     r = np.random.default_rng(5)
     base = r.integers(0, 2**64, (12, 4), dtype=np.uint64)
     sig = np.repeat(base, 30, axis=0)
     for row in sig:
         for b in r.integers(0, 256, 24):
             row[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
-    value = np.sort(r.integers(0, values, len(sig)))
-    root = near_copies.linked(value, sig, within=3)
-    want = np.arange(len(sig))
+    value, ids = r.integers(0, values, len(sig)), r.permutation(10 * len(sig))[: len(sig)]
+    order = np.lexsort((ids, value))
+    value, ids = value[order], ids[order]
+    found = near_copies.candidates(value, ids, sig, most, within=3)
+    want = collections.defaultdict(list)
     for i in range(len(sig)):
-        for j in range(i):
-            if int(value[i] ^ value[j]).bit_count() <= 3 and np.bitwise_count(sig[i] ^ sig[j]).sum() <= near_copies.BUDGET:
-                want[want == want[i]] = want[j]
-    assert len(set(zip(root.tolist(), want.tolist(), strict=True))) == len(set(root.tolist())) == len(set(want.tolist()))
-
-
-def test_near_copies_in_blocks(spark):
-    rows = [(k, prose(60, k % 40)) for k in range(200)]
-    marks = spark.createDataFrame(rows, "doc_id bigint, text string").select("doc_id", F.lit(b"").alias("k_text"), "text").mapInArrow(near_copies._marks, "doc_id bigint, k_text binary, node bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
-    nodes = marks.dropDuplicates(["node"]).cache()
-    assert nodes.count() == 40 and near_copies.near_links(nodes, 3).count() == 0
+        for j in range(len(sig)):
+            if ids[i] < ids[j] and int(value[i] ^ value[j]).bit_count() <= 3 and np.bitwise_count(sig[i] ^ sig[j]).sum() <= near_copies.BUDGET:
+                want[int(ids[j])].append(int(ids[i]))
+    got = collections.defaultdict(list)
+    for i, j in zip(ids[found.first].tolist(), ids[found.then].tolist(), strict=True):
+        got[j].append(i)
+    assert got == {j: sorted(x)[:most] for j, x in want.items()}
+    open_ids = set(ids[found.open].tolist())
+    assert all({j, i} <= open_ids for j, x in want.items() for i in sorted(x)[most:]) and (most < 1000 or not open_ids)
+
+
+@pytest.mark.parametrize("block", [8, 1 << 15])
+def test_near_copies_of_a_large_group(spark, monkeypatch, block):
+    """One text in 150 near copies, among others; with small blocks the group is dealt into many."""
+    monkeypatch.setattr(near_copies, "LEAST_EXACT", 1)
+    monkeypatch.setattr(near_copies, "TOGETHER", 16)
+    base, rows = prose(400, 9).split(), [(k, prose(80, 1000 + k)) for k in range(40)]
+    rows.append((40, " ".join(base)))
+    for k in range(150):
+        w = list(base)
+        w[random.Random(k).randrange(400)] = "changed"
+        rows.append((41 + k, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert {x["doc_id"] for x in near_copies.one_of_each(d, block).collect()} == set(range(41))
+
+
+def test_covers_of_chains_and_stars(spark):
+    for seed in range(2):
+        r = random.Random(seed)
+        links = sorted({tuple(sorted(r.sample(range(60), 2))) for _ in range(70)} | {(k, k + 1) for k in range(100, 109)} | {(200, k) for k in range(201, 240)})
+        gone = set()
+        for a, b in sorted(links, key=lambda x: x[1]):  # by number: b goes if an earlier neighbour stays
+            if a not in gone:
+                gone.add(b)
+        found = near_copies.covered(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+        assert {x["id"] for x in found} == gone and len(found) == len(gone)
 
 
 def test_models_files_stay_closed(spark, monkeypatch):
