@@ -13,7 +13,7 @@ import pytest
 from public_tokenizers import PATTERN
 from pyspark.sql import functions as F
 
-from tidegrove.llm import bpe, decontaminate, kneser_ney, licenses, near_copies, quality, quotes, sharding, tokencount, warc
+from tidegrove.llm import bpe, decontaminate, kneser_ney, licenses, near_copies, quality, quotes, sharding, store, tokencount, warc
 from tidegrove.llm import words as W
 from tidegrove.llm.queries import RANKS
 
@@ -415,18 +415,69 @@ def test_covers_of_chains_and_stars(spark):
         assert {x["id"] for x in found} == gone and len(found) == len(gone)
 
 
-def test_models_files_stay_closed(spark, monkeypatch):
+@pytest.fixture
+def many_buckets(spark, monkeypatch):
     monkeypatch.setattr(kneser_ney, "DOCS_A_BUCKET", 1)
-    d = spark.createDataFrame([(k, prose(40, k)) for k in range(300)], "doc_id bigint, text string")
+    texts = [prose(40, k) for k in range(300)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     spec = kneser_ney.train(d)
     assert spec["bits"] == 9
-    model = kneser_ney.Model(spec)
+    (part,) = W.slices(pa.array(texts), 1 << 30)
+    return d, spec, kneser_ney.tokens(part)
+
+
+def n_maps(folder):
+    with open("/proc/self/maps") as f:
+        return sum(folder.rsplit("/", 1)[-1] in line for line in f)
+
+
+def test_models_files_stay_closed(many_buckets, monkeypatch):
+    """Few files are mapped at a time, none is open, and the scores are those of workers."""
+    d, spec, tok = many_buckets
     before = len(os.listdir("/proc/self/fd"))
-    (part,) = W.slices(pa.array([prose(40, k) for k in range(300)]), 1 << 30)
-    logs, counts = model.score(*kneser_ney.tokens(part))
-    assert len(model.files) > 900 and len(os.listdir("/proc/self/fd")) - before < 16
+    want = kneser_ney.Model(spec).score(*tok)[0]
+    monkeypatch.setattr(store, "MAPS", 7)
+    model = kneser_ney.Model(spec)
+    logs, counts = model.score(*tok)
+    assert n_maps(spec["folder"]) <= 7 + 2 * 128 and len(model.store.files) <= 7 and len(os.listdir("/proc/self/fd")) - before < 16
     total = kneser_ney.score(d, spec).agg(F.sum("score")).first()[0]
-    assert abs(logs.sum() - total) < 1e-6 and (counts > 0).all()
+    assert (logs == want).all() and abs(logs.sum() - total) < 1e-6 and (counts > 0).all()
+
+
+def test_a_remote_model_is_read_in_parts(many_buckets, monkeypatch):
+    """From a store that can't be mapped, buckets are read as ranges and only some are kept."""
+    from tidegrove.llm import shared
+
+    _, spec, tok = many_buckets
+    want = kneser_ney.Model(spec).score(*tok)[0]
+    read = []
+
+    class Remote:
+        def open_input_file(self, path):
+            read.append(path)
+            return open(path, "rb")
+
+    monkeypatch.setattr(shared, "_filesystem", lambda uri: (Remote(), uri.removeprefix("file:")))
+    monkeypatch.setattr(store, "HELD", 20_000)
+    model = kneser_ney.Model(spec)
+    assert (model.score(*tok)[0] == want).all() and len(read) > 200 and not n_maps(spec["folder"] + "/none")
+    assert model.store.held <= 20_000 + 10_000 and model.store.held == sum(f.held for f in model.store.files.values())
+
+
+def test_a_store_of_very_many_buckets(tmp_path):
+    """2**16 buckets of each of two kinds under a thousand maps."""
+    n = 1 << 16
+    for kind in ("a", "b"):
+        for first in range(0, n, 1 << store.PACK):
+            store.write_pack(str(tmp_path), kind, {b: np.array([b, ord(kind)], np.int64).tobytes() for b in range(first, first + (1 << store.PACK)) if b % 7})
+    s = store.Store(str(tmp_path), lambda raw: raw.view(np.int64).tolist())
+    most = 0
+    for k, b in enumerate(random.Random(1).sample(range(n), n)):
+        for kind in ("a", "b"):
+            assert s.get(kind, b) == ([b, ord(kind)] if b % 7 else None)
+        if k % 4096 == 0:
+            most = max(most, n_maps(str(tmp_path)))
+    assert 100 < most < 1000
 
 
 def test_large_counts_stop():
@@ -472,21 +523,6 @@ def test_finished_tables_go(spark):
     assert {x.rsplit("-", 1)[0] for x in set(os.listdir(base)) - before} <= {"copies-keep", "cc-links"}
 
 
-def test_files_of_a_remote_store_are_read(spark, monkeypatch):
-    from tidegrove.llm import shared
-
-    path = shared.new_dir(spark, "bytes")
-    shared.write_file(path, [b"abc", b"def"])
-    here = shared.mapped(path).tobytes()
-
-    class Store:
-        def open_input_stream(self, p):
-            return open(p, "rb")
-
-    monkeypatch.setattr(shared, "_filesystem", lambda uri: (Store(), uri))
-    assert here == shared.mapped(path).tobytes() == b"abcdef"
-
-
 @pytest.mark.parametrize("name", ["op8_quality_rules", "op9_license_scan", "op10_warc"])
 def test_queries_equal_sql(spark, name):
     import duckdb

@@ -8,11 +8,12 @@ Tokens are words (``words.py``, A-Z lowered) and one end for each text; starts s
   pairs (v, w) and of contexts (u, v) and (v) are found in it. Words v that a bounded sample shows to fill over half
   a bucket are dealt over all buckets by the hash of (v, w); only their contexts (u, v) then come in parts, which are
   summed in a second shuffle. The sample decides about places only, never about counts.
-* A bucket is merged by one task and written as one file of sorted hash arrays. Its statistics of words, and of contexts
-  that came in parts, are merged by hash the same way.
+* A bucket is merged by one task into sorted hash arrays; a few neighbouring ones share a file (``store.py``). Its statistics
+  of words, and of contexts that came in parts, are merged by hash the same way.
 * Word files have, for each word, its count, the number of different words before it, the sum of the counts of pairs it
   begins, and how many of these counts are one, two, or more. Discounts come from counts of counts.
-* Scoring maps the files and looks grams up by a directory of leading bits and binary search. A context (u, v) without
+* Scoring maps the files, a bounded number at a time, and looks grams up bucket by bucket, by a directory of leading bits and
+  binary search. A context (u, v) without
   an entry whose pair is known was seen once.
 
 p(w|uv) = max(c(uvw)-D3(c), 0)/c(uv) + g(uv) p(w|v), p(w|v) = max(n(vw)-D2(n), 0)/n(v) + g(v) p(w), p(w) = max(n(w)-D1(n), 0)/n
@@ -37,7 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .shared import cut, free, mapped, new_dir, write_file
+from .shared import cut, free, new_dir
+from .store import PACK, Store, write_pack
 
 END, START = np.uint64(0xE5D0000000000001), np.uint64(0x57A2000000000001)
 #: Grams that a task holds before it sorts and sends them; documents a bucket.
@@ -272,8 +274,15 @@ class Table:
         return out
 
 
-def _write_tables(uri: str, tables: list[bytes]) -> None:
-    write_file(uri, [np.array([len(tables), *map(len, tables)], np.uint64).tobytes(), *tables])
+def _joined(tables: list[bytes]) -> bytes:
+    """Tables as one blob."""
+    return b"".join([np.array([len(tables), *map(len, tables)], np.uint64).tobytes(), *tables])
+
+
+def _parted(raw: np.ndarray) -> list[Table]:
+    n = int(raw[:8].view(np.uint64)[0])
+    ends = np.append(0, raw[8 : 8 * (n + 1)].view(np.uint64)).astype(np.int64).cumsum() + 8 * (n + 1)
+    return [Table(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _by_count(key: np.ndarray, n: np.ndarray) -> list[bytes]:
@@ -284,10 +293,25 @@ def _by_count(key: np.ndarray, n: np.ndarray) -> list[bytes]:
 _WORD_ROWS = "wbucket int, kind string, word binary, a binary, b binary, c binary, d binary, stats array<bigint>"
 
 
-def _merge_grams(layout: Layout, folder: str, order: int):
-    """Merges a bucket, writes its file, and returns its part of the statistics of words and of contexts in parts."""
+def _packs(folder: str, kind: str, key: str, merge_one):
+    """Merges the buckets of a file, one after the other, and writes it."""
 
     def run(table: pa.Table) -> pa.Table:
+        where = table.column(key).to_numpy()
+        blobs, out = {}, []
+        for bucket in np.unique(where).tolist():
+            blobs[bucket], rows = merge_one(table.take(np.flatnonzero(where == bucket)))
+            out.append(rows)
+        write_pack(folder, kind, blobs)
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _merge_grams(layout: Layout, order: int):
+    """Merges a bucket: its tables, and its part of the statistics of words and of contexts in parts."""
+
+    def run(table: pa.Table) -> tuple[bytes, pa.Table]:
         parts = []
         for v, n_w, w, n_u, u, n in zip(*(_buf(table.column(k)) for k in ("v", "n_w", "w", "n_u", "u", "n")), strict=True):
             n, n_u = _got(n).astype(np.int64), _got(n_u)
@@ -321,7 +345,6 @@ def _merge_grams(layout: Layout, folder: str, order: int):
             tables.append(pack_table(key[more & ~hot], [c[more & ~hot] for c in cols], LOW))
             send("once", key[hot & ~more])
             send("more", key[hot & more], *(c[hot & more] for c in cols))
-        _write_tables(f"{folder}/gram-{bucket}", tables)
         vat = _starts(pv)
         send("context", pv[vat], _sums(pn, vat), *(_sums(pn == k if k < 3 else pn > 2, vat) for k in (1, 2, 3)))
         by = np.argsort(pw, kind="stable")
@@ -330,16 +353,16 @@ def _merge_grams(layout: Layout, folder: str, order: int):
         out.append((bucket, "stats", *[b""] * 5, [int((x == k).sum()) for x in (n, pn) for k in (1, 2, 3, 4)]))
         kinds = [pa.int32(), pa.string(), *[pa.binary()] * 5, pa.list_(pa.int64())]
         names = ["wbucket", "kind", "word", "a", "b", "c", "d", "stats"]
-        return pa.table([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        return _joined(tables), pa.table([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     return run
 
 
-def _merge_words(folder: str):
-    """Merges the parts that fell to a bucket into one file: words with count, words before, and the sum and the ones, twos
+def _merge_words():
+    """Merges the parts that fell to a bucket into tables: words with count, words before, and the sum and the ones, twos
     and more of the counts of their pairs; then contexts that came in parts. Hands the statistics on."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> tuple[bytes, pa.Table]:
         words, ctx, stats = [], [], np.zeros(8, np.int64)
         for kind, part, *raw in zip(table.column("kind").to_pylist(), table.column("stats").to_pylist(), *(_buf(table.column(k)) for k in ("word", "a", "b", "c", "d")), strict=True):
             if kind == "stats":
@@ -356,10 +379,10 @@ def _merge_words(folder: str):
         word, *cols = merge(words, 1) if words else (np.zeros(0, np.uint64), *[empty] * 6)
         key, *sums = merge(ctx, 1) if ctx else (np.zeros(0, np.uint64), *[empty] * 4)
         more = sums[0] > 1
-        _write_tables(f"{folder}/word-{table.column('wbucket')[0].as_py()}", [pack_table(word, cols, 8), pack_table(key[more], [c[more] for c in sums], LOW)])
+        blob = _joined([pack_table(word, cols, 8), pack_table(key[more], [c[more] for c in sums], LOW)])
         c, before = cols[:2]
         totals = [*stats.tolist(), int((c > 0).sum()), int(c.sum()), int(before.sum()), *(int((before == k).sum()) for k in (1, 2, 3, 4))]
-        return pa.table([pa.array([totals], pa.list_(pa.int64()))], ["stats"])
+        return blob, pa.table([pa.array([totals], pa.list_(pa.int64()))], ["stats"])
 
     return run
 
@@ -390,8 +413,10 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 3) -> dict:
     layout = Layout(bits, _frequent(rows, n_docs, 0.5 / (1 << bits)))
     tasks = 1 << min(bits, TASK_BITS)
     packed = rows.mapInArrow(_count(layout, order), _GRAM_ROWS)
-    merged = packed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_merge_grams(layout, folder, order), _WORD_ROWS)
-    done = cut(merged.repartition(tasks, "wbucket").groupBy("wbucket").applyInArrow(_merge_words(folder), "stats array<bigint>"), "kneser-ney-words")
+    file = lambda c: F.shiftright(c, PACK).alias("file")
+    merged = packed.withColumn("file", file("bucket")).repartition(tasks, "file").groupBy("file").applyInArrow(_packs(folder, "gram", "bucket", _merge_grams(layout, order)), _WORD_ROWS)
+    words = merged.withColumn("file", file("wbucket")).repartition(tasks, "file").groupBy("file").applyInArrow(_packs(folder, "word", "wbucket", _merge_words()), "stats array<bigint>")
+    done = cut(words, "kneser-ney-words")
     stats = _sum_stats(done, 15)
     free(done)
     vocab, words, types, u1, u2, u3, u4 = stats[8:]
@@ -417,22 +442,11 @@ def _frequent(rows: DataFrame, n_docs: int, share: float) -> np.ndarray:
 
 
 class Model:
-    """The files of a model, mapped when first needed."""
+    """A model's tables, mapped when needed."""
 
     def __init__(self, spec: dict):
         self.spec, self.layout = spec, Layout(spec["bits"], spec["hot"])
-        self.files: dict[str, list[Table]] = {}
-
-    def _file(self, name: str) -> list[Table]:
-        if name not in self.files:
-            try:
-                raw = mapped(f"{self.spec['folder']}/{name}")
-            except FileNotFoundError:  # a bucket without entries has no file
-                raw = np.zeros(8, np.uint8)
-            n = int(raw[:8].view(np.uint64)[0])
-            ends = np.append(0, raw[8 : 8 * (n + 1)].view(np.uint64)).astype(np.int64).cumsum() + 8 * (n + 1)
-            self.files[name] = [Table(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return self.files[name]
+        self.store = Store(spec["folder"], _parted)
 
     def _look(self, kind: str, bucket: np.ndarray, keys: np.ndarray, first: int, most: int, n: int, once: tuple = ()) -> list[np.ndarray]:
         """The ``n`` counts behind each key, 0 where there are none: from the tables ``first`` to ``most`` of its bucket, of
@@ -442,7 +456,7 @@ class Model:
         out = [np.zeros(len(keys), np.int64) for _ in range(n)]
         at = _starts(b)
         for lo, hi in zip(at, np.append(at[1:], len(b)) if len(b) else [], strict=True):
-            for table in self._file(f"{kind}-{b[lo]}")[first : most + 1]:
+            for table in (self.store.get(kind, int(b[lo])) or [])[first : most + 1]:
                 i, hit = table.find(k[lo:hi])
                 i, rows = i[hit], order[lo:hi][hit]
                 for col, o in enumerate(out):

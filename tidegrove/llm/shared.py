@@ -76,11 +76,16 @@ def read_file(uri: str):
     return files.open_input_stream(path, compression=None)
 
 
-def mapped(uri: str) -> np.ndarray:
-    """The bytes of a file: memory-mapped if the store is a file system, else read. The map keeps no file open."""
+def map_file(uri: str) -> np.ndarray | None:
+    """The bytes of a file, memory-mapped, or None where the store is no file system. The map keeps no file open."""
     files, path = _filesystem(uri)
     if type(files).__name__ != "LocalFileSystem":
-        with files.open_input_stream(path) as source:
-            return np.frombuffer(source.read(), np.uint8)
+        return None
     with open(path, "rb") as f:
         return np.frombuffer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), np.uint8)
+
+
+def open_file(uri: str):
+    """A file of any store, to read ranges of."""
+    files, path = _filesystem(uri)
+    return files.open_input_file(path)
