@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query, rnd, table
 from . import reasoning as R
-from .parsing import EVENT_TEXT_SQL, _events, _said, _two, boxed, final_answer, finite, hash_answer, last_tagged, list_verdict, measure_blocks, normal_verdict, overlong, verifications
+from .parsing import EVENT_TEXT_SQL, _events, _said, _two, answer_set, boxed, final_answer, finite, hash_answer, last_tagged, list_verdict, measure_blocks, normal_verdict, overlong, verifications
 from .scoring import WEIGHTS, WRONG_CAP, agreement, clamped, members, weighted
 from .text import FLOOR, answer_line, found, normal_answer, proximity, relative_accuracy, set_f1, think
 
@@ -40,7 +40,8 @@ def numeric(p: Column, g: Column) -> Column:
 
 
 def binary(p: Column, g: Column) -> Column:
-    a, b = (found(F.lower(x), r"\b(yes|no)\b") for x in (p, g))
+    """yes or no at the answer's start; what follows doesn't count."""
+    a, b = (found(F.lower(x), r"\A(yes|no)") for x in (p, g))
     return _either(a, b, F.when(a == b, 1.0).otherwise(FLOOR))
 
 
@@ -54,7 +55,7 @@ def list_score(p: Column, g: Column) -> Column:
     """Proximity place by place, times the shorter length over the longer."""
     n, m = F.size(g), F.size(p)
     total = F.aggregate(F.zip_with(F.slice(p, F.lit(1), n), F.slice(g, F.lit(1), m), lambda a, b: proximity(a, b)), F.lit(0.0), lambda a, x: a + x)
-    return F.when(p.isNull(), 0.0).otherwise(total / n * F.least(n, m) / F.greatest(n, m))
+    return F.when(p.isNull() | (n == 0) | (m == 0), 0.0).otherwise(total / n * F.least(n, m) / F.greatest(n, m))
 
 
 def polymorphic(p: Column, g: Column) -> Column:
@@ -65,14 +66,9 @@ def polymorphic(p: Column, g: Column) -> Column:
     return _either(p, g, F.when(gl.isNotNull(), list_score(list_verdict(p), gl)).when(gn.isNotNull(), number).otherwise(word))
 
 
-def parenthesised(p: Column) -> Column:
-    """The members of (a, b, c)."""
-    inside = found(p, r"\((.*)\)")
-    return F.array_distinct(F.filter(F.transform(F.split(inside, ","), lambda x: F.trim(x)), lambda x: x != ""))
-
-
 def set_of(p: Column, g: Column) -> Column:
-    a, b = parenthesised(p), parenthesised(g)
+    """Of whole reasoning blocks, as the set is the first that the reasoning answers."""
+    a, b = answer_set(p), answer_set(g)
     return _either(a, b, F.when((F.size(a) == 0) != (F.size(b) == 0), 0.0).otherwise(set_f1(a, b)))
 
 
@@ -93,7 +89,8 @@ def score(prediction: Column, truth: Column, kind: Column) -> Column:
     def rated(x: Column) -> Column:
         out = F.when(x["g"].isNull(), F.raise_error("a truth has no reasoning block").cast("double")).when(x["p"].isNull(), 0.0).when(kind.startswith(HELD_OUT), 0.5)
         for family, rule in RULES.items():
-            out = out.when(kind.isin(*FAMILIES[family]), rule(x["a"], x["b"]))
+            sides = (x["p"], x["g"]) if family == "set" else (x["a"], x["b"])
+            out = out.when(kind.isin(*FAMILIES[family]), rule(*sides))
         return R.let(out.otherwise(F.raise_error(F.concat(F.lit("unknown kind "), F.coalesce(kind, F.lit("null")))).cast("double")), clamped)
 
     blocks = F.struct(think(prediction).alias("p"), think(truth).alias("g"))
@@ -109,10 +106,11 @@ def _cases() -> list[tuple[str, Column, Column]]:
     v, even, c = F.col("v"), F.col("even"), F.col("event_type")
     return [
         ("rl_range", _think("answer: ", _two(v)), _think("answer: 50")),
-        ("yes_no", _think("Answer: ", F.when(even, "Yes").otherwise("no")), _think("answer: yes")),
+        ("yes_no", _think("Answer: ", F.when(even, "Yes, or no").otherwise("not so")), _think("answer: yes")),
+        ("rl_has_periodicity", _think("answer: ", F.when(even, "maybe yes").otherwise("No.")), _think("answer: no")),
         ("correlation", _think("verdict: <b>", F.when(even, "Steady").otherwise("increase"), "</b>"), _think("answer: keep steady")),
         ("stat_numerical", _think("answer: [", _two(v), ", 2]"), _think("answer: [50, 2, 3]")),
-        ("clustering", _think("answer: (click, B)"), _think("answer: (", c, ", B)")),
+        ("clustering", _think("answer: (Click, B) and (C)"), _think("answer: (", c, ", b)")),
         ("segment_enumeration", _think("answer: ", c, ", b"), _think("answer: b, click")),
         ("description", _think("anything"), _think("some text")),
         ("ood_trend_reversal", _think("answer: 1"), _think("answer: 2")),
@@ -120,8 +118,8 @@ def _cases() -> list[tuple[str, Column, Column]]:
     ]
 
 
-@query(EVENT_TEXT_SQL + """SELECT event_id, unnest(['rl_range', 'yes_no', 'correlation', 'stat_numerical', 'clustering', 'segment_enumeration', 'description', 'ood_trend_reversal', 'rl_segment_count']) AS kind,
- unnest([round(exp(-abs(v - 50) / 5), 4), CASE WHEN even THEN 1 ELSE 0.05 END, CASE WHEN even THEN 1 ELSE 0.05 END, round((exp(-abs(v - 50) / 5) + 1) / 3 * 2 / 3, 4), CASE WHEN event_type = 'click' THEN 1 ELSE 0.5 END, CASE WHEN event_type = 'click' THEN 1 ELSE 0.5 END, 0.5, 0.5, 0.0]::DOUBLE[]) AS score FROM e""")
+@query(EVENT_TEXT_SQL + """SELECT event_id, unnest(['rl_range', 'yes_no', 'rl_has_periodicity', 'correlation', 'stat_numerical', 'clustering', 'segment_enumeration', 'description', 'ood_trend_reversal', 'rl_segment_count']) AS kind,
+ unnest([round(exp(-abs(v - 50) / 5), 4), CASE WHEN even THEN 1 ELSE 0.05 END, CASE WHEN even THEN 0 ELSE 1 END, CASE WHEN even THEN 1 ELSE 0.05 END, round((exp(-abs(v - 50) / 5) + 1) / 3 * 2 / 3, 4), CASE WHEN event_type = 'click' THEN 1 ELSE 0.5 END, CASE WHEN event_type = 'click' THEN 1 ELSE 0.5 END, 0.5, 0.5, 0.0]::DOUBLE[]) AS score FROM e""")
 def compute_score(spark, sf_dir):
     e = _events(spark, sf_dir)
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), p.alias("p"), g.alias("g")) for k, p, g in _cases())))
@@ -129,10 +127,14 @@ def compute_score(spark, sf_dir):
     return x.select("event_id", "x.kind", rnd(score(F.col("x.p"), F.col("x.g"), F.col("x.kind")), 4).alias("score"))
 
 
-@query(EVENT_TEXT_SQL + "SELECT event_id, round(exp(-abs(v - 50) / 5), 4) AS number, 1.0::DOUBLE AS word, 0.05::DOUBLE AS wrong, 0.0::DOUBLE AS unread FROM e")
+@query(EVENT_TEXT_SQL + """SELECT event_id, round(exp(-abs(v - 50) / 5), 4) AS number, CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.05 END::DOUBLE AS word, round((exp(-abs(v - 50) / 5) + CASE WHEN even THEN 1 ELSE 0 END) / 2 * CASE WHEN even THEN 1 ELSE 0.5 END, 4) AS list,
+CASE WHEN even THEN 0.0 ELSE 1.0 END::DOUBLE AS unread FROM e""")
 def verdict_polymorphic(spark, sf_dir):
+    """By the truth's form: a number, a word, a list (with a member short, or with a comma at its end), and answers without one."""
     f = lambda p, g: rnd(polymorphic(p, g), 4)
-    return _events(spark, sf_dir).select("event_id", f(_two(F.col("v")), F.lit("50")).alias("number"), f(F.lit("Equal"), F.lit("equal")).alias("word"), f(F.lit("a"), F.lit("b")).alias("wrong"), f(F.lit("x"), F.lit("[1, 2]")).alias("unread"))
+    v, even, c = F.col("v"), F.col("even"), F.col("event_type")
+    told = _said("about [", _two(v), F.when(even, ", 2,").otherwise(""), "]")
+    return _events(spark, sf_dir).select("event_id", f(_two(v), F.lit("50")).alias("number"), f(c, F.lit("Click")).alias("word"), f(told, F.lit("[50, 2]")).alias("list"), f(F.when(even, c).otherwise("[1,2]"), F.lit("[1, 2]")).alias("unread"))
 
 
 def near(p: Column, g: Column, scale: Column, k: float) -> Column:

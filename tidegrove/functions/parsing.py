@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators.generators import spread
 from ..registry import query, rnd, table
+from .brackets import last_object, until_closed
 from .reasoning import let, reasoning
 from .text import found
 
@@ -28,21 +28,55 @@ def without_first_think(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\A<think>.*?</think>\s*", "")
 
 
+def _section(think: Column) -> Column:
+    """The reasoning below ===, or the whole block if it has none."""
+    return F.coalesce(reasoning(think), think)
+
+
 def scalar_answer(think: Column) -> Column:
-    """The first word of the first answer below ===, A-Z lowered."""
-    return F.lower(found(reasoning(think), r"(?i)answer:\s*(\w+)"))
+    """The first word of the first line "answer: ..." of the reasoning, A-Z lowered. ^ stands at line feeds alone."""
+    return F.lower(found(_section(think), r"(?imd)^answer:\s*(\S+)"))
+
+
+def answer_set(think: Column) -> Column:
+    """The distinct members, lowered, of the first line "answer: (a, b, ...)" of the reasoning, up to the first bracket that
+    closes; null without such a line."""
+    inside = found(_section(think), r"(?imd)^answer:\s*\(([^)]*)\)")
+    return F.array_distinct(F.filter(F.transform(F.split(inside, ","), lambda x: F.lower(F.trim(x))), lambda x: x != ""))
+
+
+def _passes(line: Column) -> Column:
+    """Whether a line says PASS. and not FAIL.; null if it says neither."""
+    upper = F.upper(line)
+    return F.when(upper.contains("FAIL."), False).when(upper.contains("PASS."), True)
+
+
+def _checks(think: Column) -> Column:
+    """The trimmed lines of the reasoning below ===; null without it."""
+    return F.transform(F.split(reasoning(think), "\n"), lambda x: F.trim(x))
 
 
 def pass_or_fail(think: Column) -> Column:
-    """yes for a PASS, no for a FAIL, of the first line that says either and compares with nothing."""
-    lines = F.filter(F.split(F.coalesce(think, F.lit("")), "\n"), lambda x: x.rlike(r"(?i)\b(PASS|FAIL)\.") & ~F.lower(F.trim(x)).startswith("vs "))
-    return let(F.try_element_at(lines, F.lit(1)), lambda x: F.when(x.rlike(r"(?i)\bPASS\."), "yes").when(x.isNotNull(), "no"))
+    """yes for a PASS, no for a FAIL, of the first line below === that says either and is no comparison and no threshold."""
+    lines = F.filter(_checks(think), lambda x: _passes(x).isNotNull() & ~x.rlike(r"(?i)\A(vs |threshold|comparison)"))
+    return F.when(_passes(F.try_element_at(lines, F.lit(1))), "yes").when(F.size(lines) > 0, "no")
+
+
+def last_wins(entries: Column) -> Column:
+    """A map of (k, v) structs; of equal keys the last counts."""
+
+    def whole(x: Column) -> Column:
+        keys = F.array_distinct(x["k"])
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(x["v"], (F.size(x["k"]) - F.array_position(x["r"], k) + 1).cast("int"))))
+
+    columns = lambda e: F.struct(F.transform(e, lambda y: y["k"]).alias("k"), F.reverse(F.transform(e, lambda y: y["k"])).alias("r"), F.transform(e, lambda y: y["v"]).alias("v"))
+    return let(entries, lambda e: F.when(e.isNotNull(), let(columns(e), whole)))
 
 
 def verifications(think: Column) -> Column:
-    """Whom an anchor was compared with, and whether that passed: a map."""
-    part = lambda k: F.regexp_extract_all(think, F.lit(r"(?im)^vs\s+(.+?):.*?(PASS|FAIL)\."), k)
-    return F.map_from_entries(F.transform(F.arrays_zip(part(1).alias("k"), part(2).alias("v")), lambda x: F.struct(F.trim(x["k"]), F.upper(x["v"]) == "PASS")))
+    """Whom an anchor was compared with below ===, and whether that passed: a map, empty without such lines."""
+    lines = F.filter(F.coalesce(_checks(think), F.array().cast("array<string>")), lambda x: x.rlike(r"\Avs .+?:") & _passes(x).isNotNull())
+    return last_wins(F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, r"\Avs (.+?):", 1)).alias("k"), _passes(x).alias("v"))))
 
 
 def listed_segments(text: Column) -> Column:
@@ -62,7 +96,7 @@ def measure_blocks(think: Column) -> Column:
             F.trim(found(x, r"(?m)^metric:(.*)$")).alias("metric"), number(r"(?m)^season=[^\n]*period=([0-9.eE+-]+)").alias("period"), number(r"(?m)^season=[^\n]*amp=([0-9.eE+-]+)").alias("amplitude"),
             F.trim(found(x, r"(?m)^[^\n]*overall trend=([^,\n]+)")).alias("trend"), number(r"(?m)^[^\n]*\bstart=([0-9.eE+-]+)").alias("first"), number(r"(?m)^[^\n]*\bend=([0-9.eE+-]+)").alias("last"),
             listed_segments(found(x, r"(?m)^trend_segments=(.*)$")).alias("segments"), number(r"(?m)^noise=[^\n]*strength=([0-9.eE+-]+)").alias("noise"),
-            F.map_from_entries(F.transform(F.arrays_zip(stat(1).alias("k"), stat(2).alias("v")), lambda s: F.struct(s["k"], s["v"].try_cast("double")))).alias("stats"), found(x, r"(?m)^len=\s*([0-9]+)\s*$").cast("int").alias("length"),
+            last_wins(F.transform(F.arrays_zip(stat(1).alias("k"), stat(2).alias("v")), lambda s: F.struct(s["k"].alias("k"), s["v"].try_cast("double").alias("v")))).alias("stats"), found(x, r"(?m)^len=\s*([0-9]+)\s*$").cast("int").alias("length"),
         )
 
     return F.filter(F.transform(F.split(think, r"\n---\n"), block), lambda b: b["metric"].isNotNull())
@@ -81,20 +115,23 @@ def bracketed(text: Column) -> Column:
 
 
 def list_verdict(text: Column) -> Column:
-    """The finite numbers of a text that is [a, b, ...] as a whole, or null."""
-    inside = found(F.trim(text), r"\A\[(.*)\]\z")
-    numbers = F.transform(F.split(inside, ","), finite)
+    """The numbers of the first [...] of a text; null without one, or if a member is no finite number. Empty members don't count."""
+    inside = found(text, r"\[([^\]]*)\]")
+    numbers = F.transform(F.filter(F.split(inside, ","), lambda x: F.trim(x) != ""), finite)
     return F.when(F.forall(numbers, lambda x: x.isNotNull()), numbers)
 
 
+# What is mended in JSON as people and models write it. A quote behind a comma opens a member, also without a blank.
+INNER_QUOTE = r'(?<!\\)(?<![\{\[\s:,])"(?![:,\s\}\]])'
+MENDED = [(INNER_QUOTE, r'\\"'), (r":\s*True\b", ": true"), (r":\s*False\b", ": false"), (r":\s*None\b", ": null"), (r",\s*([\]}])", "$1")]
+
+
 def json_object(text: Column) -> Column:
-    """The last JSON object of a text: that in the last fence, else the last from a brace that opens a line's first brace to
-    the text's last one; Python's constants and commas before a bracket are mended."""
+    """The last JSON object of a text: that in the last fence, else the last {...} that is in no other, of any depth; quotes
+    in the middle of words, Python's constants and commas before a bracket are mended."""
     fenced = F.try_element_at(F.regexp_extract_all(text, F.lit(r"(?is)```(?:json)?\s*(\{.*?\})\s*```"), 1), F.lit(-1))
-    nested = r"(\{(?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*\})"  # objects up to four deep
-    bare = F.try_element_at(F.regexp_extract_all(text, F.lit(nested), 1), F.lit(-1))
-    out = F.coalesce(fenced, bare)
-    for a, b in ((r":\s*True\b", ": true"), (r":\s*False\b", ": false"), (r":\s*None\b", ": null"), (r",\s*([\]}])", "$1")):
+    out = F.coalesce(fenced, last_object(text))
+    for a, b in MENDED:
         out = F.regexp_replace(out, a, b)
     return out
 
@@ -154,14 +191,14 @@ def last_number(text: Column) -> Column:
 
 
 def boxed(text: Column) -> Column:
-    r"""What the last \boxed holds, braces of up to four levels inside."""
-    inner = r"((?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*)"
-    return F.try_element_at(F.regexp_extract_all(text, F.lit(r"\\boxed\s*\{" + inner + r"\}"), 1), F.lit(-1))
+    r"""What the last \boxed{...} holds, braces of any depth inside; null if that one isn't closed."""
+    mark = "\\boxed{"
+    return F.when(F.contains(text, F.lit(mark)), until_closed(F.substring_index(text, mark, -1)))
 
 
 # What stands for one thing in answers of mathematics, and words that say nothing.
 SUBSTITUTIONS = {"an ": "", "a ": "", ".$": "$", "\\$": "", "\\ ": "", " ": "", "mbox": "text", ",\\text{and}": ",", "\\text{and}": ",", "\\text{m}": "\\text{}"}
-REMOVED = ["square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "points", "feet", "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds", "meters", "meals", "edges", "students", "\\ldots", "\\text{}", "\\!", "{,}", "\\dots"]
+REMOVED = ["square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "sue", "points", "feet", "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds", "meters", "meals", "edges", "students", "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", "\\mathrm{th}", "^\\circ", "^{\\circ}", "\\;", ",\\!", "{,}", '"', "\\dots"]
 
 
 def final_answer(text: Column) -> Column:
@@ -191,7 +228,7 @@ EVENT_TEXT_SQL = "WITH e AS (SELECT event_id, user_id, event_type, round(value,
 
 
 def _events(spark, sf_dir):
-    e = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     return e.select("event_id", "user_id", "event_type", rnd("value", 2).alias("v"), (F.col("user_id") % 2 == 0).alias("even"))
 
 
@@ -209,18 +246,25 @@ def strip_think_prefix(spark, sf_dir):
     return e.select("event_id", without_first_think(_said("<think>a\nb</think>\n Result ", F.col("event_type"), " <think>late</think>")).alias("rest"))
 
 
-@query(EVENT_TEXT_SQL + "SELECT event_id, CASE WHEN even THEN 'yes' ELSE 'increase' END AS answer FROM e")
+@query(EVENT_TEXT_SQL + "SELECT event_id, CASE user_id % 4 WHEN 0 THEN printf('%.2f', v) WHEN 1 THEN 'yes' WHEN 2 THEN '-' || user_id WHEN 3 THEN NULL END AS answer FROM e")
 def extract_answer_scalar(spark, sf_dir):
-    text = _said("answer: wrong\n===\nso Answer: ", F.when(F.col("even"), "Yes").otherwise("increase"), " it is\nanswer: later")
-    return _events(spark, sf_dir).select("event_id", scalar_answer(text).alias("answer"))
+    c = F.col
+    texts = [_said("answer: wrong\n===\nAnswer: ", _two(c("v")), " it is\nanswer: later"), F.lit("the final answer: no\nanswer: Yes"), _said("x\n===\n", c("event_type"), "\nANSWER:   -", c("user_id")), F.lit("answer: above\n===\nthe answer: inside a line")]
+    return _events(spark, sf_dir).select("event_id", scalar_answer(F.element_at(F.array(*texts), (c("user_id") % 4 + 1).cast("int"))).alias("answer"))
 
 
-@query(EVENT_TEXT_SQL + "SELECT event_id, CASE WHEN even THEN 'yes' ELSE 'no' END AS result, CASE WHEN v > 50 THEN true ELSE false END AS near, true AS far, 2 AS n FROM e")
+@query(EVENT_TEXT_SQL + """SELECT event_id, CASE user_id % 3 WHEN 0 THEN CASE WHEN even THEN 'yes' ELSE 'no' END WHEN 1 THEN 'no' END AS result, CASE user_id % 3 WHEN 0 THEN v > 50 WHEN 1 THEN even END AS near, CASE WHEN user_id % 3 = 0 THEN true END AS far,
+CASE user_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n FROM e""")
 def extract_verification(spark, sf_dir):
-    """Lines of comparison as a map, and the result of the line that is none."""
-    text = _said("vs near: at ", _two(F.col("v")), " ", F.when(F.col("v") > 50, "PASS.").otherwise("fail."), "\nvs far one: Pass.\nnearest point: ", F.when(F.col("even"), "PASS.").otherwise("FAIL."), "\nlast: FAIL.")
+    """Lines of comparison as a map, the last of a name, and the result of the line that is none; nothing without ===."""
+    c = F.col
+    texts = [
+        _said("x\n===\nvs near: at ", _two(c("v")), " ", F.when(c("v") > 50, "PASS.").otherwise("fail."), "\nvs far one: Pass.\nnearest point: ", F.when(c("even"), "PASS.").otherwise("FAIL."), "\nlast: FAIL."),
+        _said("x\n===\nthreshold 3: PASS.\nvs near: PASS.\n vs near: ", F.when(c("even"), "PASS.").otherwise("FAIL."), "\nVS upper: PASS.\npoint: PASS. or FAIL."),
+        _said("vs near: PASS.\npoint: ", c("event_type"), " PASS."),
+    ]
     m = verifications(F.col("t"))
-    return _events(spark, sf_dir).withColumn("t", text).select("event_id", pass_or_fail(F.col("t")).alias("result"), m["near"].alias("near"), m["far one"].alias("far"), F.size(m).alias("n"))
+    return _events(spark, sf_dir).withColumn("t", F.element_at(F.array(*texts), (c("user_id") % 3 + 1).cast("int"))).select("event_id", pass_or_fail(F.col("t")).alias("result"), m["near"].alias("near"), m["far one"].alias("far"), F.size(m).alias("n"))
 
 
 @query(EVENT_TEXT_SQL + "SELECT event_id, 2 AS n, 'increase' AS first, user_id::INT AS stop, 'keep steady' AS last FROM e")
@@ -256,10 +300,15 @@ def number_list(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", F.size(a).alias("n"), F.try_element_at(a, F.lit(1)).alias("first"), bracketed(F.lit("[1, x]")).isNull().alias("mixed"))
 
 
-@query(EVENT_TEXT_SQL + "SELECT event_id, event_type AS type, v AS value, even AS ok, 1::BIGINT AS deep FROM e")
+@query(EVENT_TEXT_SQL + "SELECT event_id, event_type AS type, v AS value, even AS ok, CASE WHEN user_id % 4 = 2 THEN user_id % 40 ELSE 1 END::BIGINT AS deep FROM e WHERE user_id % 4 < 3 UNION ALL SELECT event_id, NULL, NULL, NULL, NULL FROM e WHERE user_id % 4 = 3")
 def clean_json_text(spark, sf_dir):
-    body = _said('{"type": "', F.col("event_type"), '", "value": ', _two(F.col("v")), ', "ok": ', F.when(F.col("even"), "True").otherwise("False"), ', "in": {"deep": 1,}, "no": None,}')
-    text = F.when(F.col("user_id") % 3 == 0, _said("first {\"type\": 0} then ", body, " end")).otherwise(_said("Here:\n```json\n", body, "\n```\nand {more}"))
+    """Objects after others, in fences, up to forty levels deep with braces in strings, and one that isn't closed."""
+    c = F.col
+    body = _said('{"type": "', c("event_type"), '", "value": ', _two(c("v")), ', "ok": ', F.when(c("even"), "True").otherwise("False"), ', "in": {"deep": 1,}, "no": None,}')
+    n = (c("user_id") % 40).cast("int")
+    nested = _said('{"type": "', c("event_type"), '", "value": ', _two(c("v")), ', "say": "}{ \\" {", "ok": ', F.when(c("even"), "True").otherwise("False"), ', "in": {"deep": ', n, ', "more": ', F.repeat(F.lit('{"k": '), n), "0", F.repeat(F.lit("}"), n), "}}")
+    texts = [_said('first {"type": 0} then ', body, " end"), _said("Here:\n```json\n", body, "\n```\nand {more}"), _said('{"a": {}} and ', nested, " end"), _said("{ open ", body)]
+    text = F.element_at(F.array(*texts), (c("user_id") % 4 + 1).cast("int"))
     j = F.from_json(json_object(text), "type string, value double, ok boolean, `in` struct<deep: bigint>")
     return _events(spark, sf_dir).select("event_id", j.alias("j")).select("event_id", "j.type", "j.value", "j.ok", F.col("j.in.deep").alias("deep"))
 
@@ -297,12 +346,16 @@ def gsm8k_extract(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", hash_answer(text).alias("strict"), last_number(_said("so 3 or ", _two(c("v")), " .")).alias("flexible"))
 
 
-@query(EVENT_TEXT_SQL + "SELECT event_id, '\\frac{' || user_id || '}{2}' AS box, user_id::VARCHAR || '000' AS plain, '\\frac{1}{3}' AS fraction, '\\sqrt{7}' AS root FROM e")
+@query(EVENT_TEXT_SQL + """SELECT event_id, CASE user_id % 3 WHEN 0 THEN '\\frac{' || user_id || '}{2}' WHEN 1 THEN repeat('{', (user_id % 50)::INT) || event_type || repeat('}', (user_id % 50)::INT) END AS box,
+CASE user_id % 3 WHEN 0 THEN user_id::VARCHAR || '000' WHEN 1 THEN user_id::VARCHAR ELSE '3' END AS plain, '\\frac{1}{3}' AS fraction, '\\sqrt{7}' AS root FROM e""")
 def boxed_extract(spark, sf_dir):
-    r"""Results in \boxed, and answers in one form."""
+    r"""Results in \boxed, some very deep and one not closed, and answers in one form."""
     c = F.col
-    box = boxed(_said("thus \\boxed{1} and \\boxed{\\frac{", c("user_id"), "}{2}}."))
-    return _events(spark, sf_dir).select("event_id", box.alias("box"), final_answer(_said("x = $", c("user_id"), ",000$ dollars")).alias("plain"), final_answer(F.lit("\\frac13")).alias("fraction"), final_answer(F.lit("\\boxed{\\sqrt7}")).alias("root"))
+    pick = lambda *x: F.element_at(F.array(*x), (c("user_id") % 3 + 1).cast("int"))
+    n = (c("user_id") % 50).cast("int")
+    box = boxed(pick(_said("thus \\boxed{1} and \\boxed{\\frac{", c("user_id"), "}{2}}."), _said("so \\boxed{", F.repeat(F.lit("{"), n), c("event_type"), F.repeat(F.lit("}"), n), "} or {x}"), F.lit("\\boxed{1} then \\boxed{open {x}")))
+    plain = final_answer(pick(_said("x = $", c("user_id"), ",000$ dollars"), _said("angle = ", c("user_id"), "^\\circ"), F.lit("3 multiples")))
+    return _events(spark, sf_dir).select("event_id", box.alias("box"), plain.alias("plain"), final_answer(F.lit("\\frac13")).alias("fraction"), final_answer(F.lit("\\boxed{\\sqrt7}")).alias("root"))
 
 
 def position_share(p: Column, g: Column, length: Column) -> Column:

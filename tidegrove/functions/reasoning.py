@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators.generators import spread
 from ..registry import query, rnd, table
 from .text import found
 
@@ -158,7 +157,7 @@ SELECT event_id, ((v > 50) = e)::INT::DOUBLE AS yes_no, (c = e)::INT::DOUBLE AS
 CASE WHEN abs(v - 50) / greatest(v, 50) < 0.05 THEN 1.0 WHEN v > 50 THEN 1.0 ELSE 0.0 END::DOUBLE AS half, (((c AND e) = w)::INT + (w = e)::INT) / 2.0::DOUBLE AS condition FROM a""")
 def reasoning_coherency(spark, sf_dir):
     """Reasoning made of the events: their values and types decide what is found, their users what is answered."""
-    e = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     v, even, click, view = rnd("value", 2), F.col("user_id") % 2 == 0, F.col("event_type") == "click", F.col("event_type") == "view"
     pick = lambda c, a, b: F.when(c, a).otherwise(b)
     said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))

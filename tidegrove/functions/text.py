@@ -60,7 +60,8 @@ def verdict_numeric(prediction: Column, truth: Column) -> Column:
 
 
 def verdict_binary(prediction: Column, truth: Column) -> Column:
-    p, g = (found(F.lower(x), r"\b(yes|no)\b") for x in (prediction, truth))
+    """yes or no at the start of an answer line."""
+    p, g = (found(F.lower(F.trim(x)), r"\A(yes|no)") for x in (prediction, truth))
     return F.when(g.isNull(), 1.0).when(p.isNull(), 0.0).when(p == g, 1.0).otherwise(FLOOR)
 
 
@@ -93,11 +94,12 @@ def parse_answers(spark, sf_dir):
     return a.select("event_id", F.btrim(inner, F.lit("\n ")).alias("block"), without_think(F.col("t")).alias("rest"), answer_line(inner).alias("line"), first_number(answer_line(inner)).alias("number"))
 
 
-@query(ANSWER_SQL + "SELECT event_id, round(exp(-abs(printf('%.2f', value)::DOUBLE - 50) / (0.1 * 50)), 4) AS numeric_score, CASE WHEN user_id % 2 = 0 THEN 1.0 ELSE 0.05 END::DOUBLE AS binary_score, 'increase' AS trend, round(greatest(0, least(1, 1 - abs(printf('%.2f', value)::DOUBLE - 50) / 50)), 4) AS relative FROM a")
+@query(ANSWER_SQL + "SELECT event_id, round(exp(-abs(printf('%.2f', value)::DOUBLE - 50) / (0.1 * 50)), 4) AS numeric_score, CASE WHEN user_id % 3 = 0 THEN 0.0 WHEN user_id % 2 = 0 THEN 1.0 ELSE 0.05 END::DOUBLE AS binary_score, 'increase' AS trend, round(greatest(0, least(1, 1 - abs(printf('%.2f', value)::DOUBLE - 50) / 50)), 4) AS relative FROM a")
 def score_answers(spark, sf_dir):
     a = _answers(spark, sf_dir)
     line, rest = answer_line(think(F.col("t"))), without_think(F.col("t"))
-    return a.select("event_id", rnd(verdict_numeric(line, F.lit("50")), 4).alias("numeric_score"), verdict_binary(rest, F.lit("yes")).alias("binary_score"), normal_trend(rest).alias("trend"), rnd(relative_accuracy(first_number(line), F.lit(50.0)), 4).alias("relative"))
+    said = F.when(F.col("user_id") % 3 == 0, "I think yes").when(F.col("user_id") % 2 == 0, " yes, it is").otherwise("not sure")
+    return a.select("event_id", rnd(verdict_numeric(line, F.lit("50")), 4).alias("numeric_score"), verdict_binary(said, F.lit("Yes.")).alias("binary_score"), normal_trend(rest).alias("trend"), rnd(relative_accuracy(first_number(line), F.lit(50.0)), 4).alias("relative"))
 
 
 @query("SELECT n_nationkey AS k, trim(regexp_replace(regexp_replace(lower('The ' || n_name || ', an  answer!'), '[!-/:-@\\[-`{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g').regexp_replace('\\s+', ' ', 'g')) AS answer FROM nation")
