@@ -1,26 +1,18 @@
-"""Balancing of a stream of verdicts, and of lengths over equal parts.
+"""Balancing of a stream of verdicts.
 
 The balancer keeps a row with probability (rows so far of the rarest verdict) / (rows so far of its own), one over the
 latter until every verdict was seen. "So far" is counted in two steps, as a type can hold a large share of all rows:
 totals by hour, accumulated over the few hours, then ranks within an hour. The coin is a digest of the row's id.
-
-Karmarkar-Karp: lengths are balanced over k parts within batches of rows, as a trainer's steps are, so a task holds a
-batch and never a whole table.
 """
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query, rnd, table
 from .generators import _u, uniform
 
-BATCH, PARTS = 512, 8
-
 
 def keep_odds(rows: DataFrame, kind: str, verdict: str, order: list[str], slot: str, allowed: list) -> DataFrame:
     """``rows`` with ``odds``. slot: a column that rises with the order and cuts it into stretches one task can sort."""
@@ -44,32 +36,3 @@ def coin_flip_keep(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"), "ts", F.when(F.col("value") < 20, "low").otherwise("high").alias("verdict"), F.date_trunc("hour", "ts").alias("hour"))
     r = keep_odds(e, "kind", "verdict", ["ts", "event_id"], "hour", ["low", "high"])
     return r.where(uniform("coin", "event_id") <= F.col("odds")).select("event_id", "kind", "verdict", rnd("odds", 6).alias("odds"))
-
-
-def differencing(lengths: list[int], parts: int) -> list[int]:
-    """The part of each item, by the largest differencing method: the two states furthest from balance are merged, the
-    fullest part of one with the emptiest of the other, until one is left."""
-    heap = [(-n, i, [(n, [i])] + [(0, [])] * (parts - 1)) for i, n in enumerate(lengths)]
-    heapq.heapify(heap)
-    while len(heap) > 1:
-        _, tie, one = heapq.heappop(heap)
-        _, _, two = heapq.heappop(heap)
-        merged = sorted(((a + b, x + y) for (a, x), (b, y) in zip(one, reversed(two), strict=True)), key=lambda s: -s[0])
-        heapq.heappush(heap, (merged[-1][0] - merged[0][0], tie, merged))
-    out = [0] * len(lengths)
-    for part, (_, items) in enumerate(heap[0][2] if heap else []):
-        for i in items:
-            out[i] = part
-    return out
-
-
-def _deal(batch: pd.DataFrame) -> pd.DataFrame:
-    batch = batch.sort_values("doc_id")
-    return batch.assign(part=differencing(batch["n_chars"].tolist(), PARTS))[["batch", "doc_id", "n_chars", "part"]]
-
-
-@query()
-def karmarkar_karp(spark, sf_dir):
-    """Documents of each batch of ids over equal parts; a null length counts as nothing."""
-    d = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / BATCH).alias("batch"), "doc_id", F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
-    return d.groupBy("batch").applyInPandas(_deal, "batch bigint, doc_id bigint, n_chars bigint, part int")

@@ -1,21 +1,15 @@
 """Choosing, ordering and dealing rows: samples, quotas, weights, permutations, partitions of equal work.
 
-Documents with labels are the rows, as in ``sampling``. Orders come from keys of the rows; partitions of equal work are
-found for chunks of rows of bounded size, each in one task, and never for a whole table.
+Documents with labels are the rows, as in ``sampling``. Orders come from keys of the rows; ``dealing`` has partitions of equal work.
 """
 
 from __future__ import annotations
 
-import heapq
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query, rnd, table
 from .algebra import numbered
-from .balancing import differencing
 from .sampling import ROWS_SQL, order_key, ranked, rows
 
 
@@ -156,88 +150,3 @@ def intersect_except(spark, sf_dir):
 def debug_distinct(spark, sf_dir):
     """One row of each kind and sub-kind, to look at."""
     return table(spark, sf_dir, "documents").select("source", "lang").dropDuplicates(["source", "lang"])
-
-
-#: Rows that are dealt in one task.
-CHUNK = 512
-
-
-def lightest(sizes: list[int], parts: int) -> list[int]:
-    """Each size, largest first, to the part that has least so far."""
-    heap, out = [(0, p) for p in range(parts)], [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        load, p = heapq.heappop(heap)
-        out[i] = p
-        heapq.heappush(heap, (load + sizes[i], p))
-    return out
-
-
-def under_cap(sizes: list[int], most: int) -> list[int]:
-    """Parts whose sums stay under ``most`` where no single size is over it: as many as the sum needs, more until it holds;
-    numbered so that the smallest sums stand at both ends."""
-    parts = max(1, math.ceil(sum(sizes) / most))
-    while True:
-        out = differencing(sizes, parts)
-        loads = [0] * parts
-        for n, p in zip(sizes, out, strict=True):
-            loads[p] += n
-        if parts >= len(sizes) or max(loads) <= max(most, *sizes):
-            break
-        parts += 1
-    order = sorted(range(parts), key=lambda p: (loads[p], p))
-    place = {p: k for k, p in enumerate([*order[::2], *order[1::2][::-1]])}
-    return [place[p] for p in out]
-
-
-def in_chunks(df: DataFrame, key: str, size: str, deal, out: str = "part") -> DataFrame:
-    """(chunk, key, size, part): ``deal`` of the sizes of each ``CHUNK`` neighbouring rows, in a task of its own."""
-    d = numbered(df.select(key, size), key).select(F.floor(F.col("_i") / CHUNK).alias("chunk"), key, size)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(key)
-        return group.assign(**{out: deal([int(x) for x in group[size]])})
-
-    kinds = dict(d.dtypes)
-    return d.groupBy("chunk").applyInPandas(run, f"chunk bigint, {key} {kinds[key]}, {size} {kinds[size]}, {out} int")
-
-
-@query("SELECT (i // 512)::BIGINT AS chunk, count(*) AS n, sum(c)::BIGINT AS chars, count(*) > 0 AS even FROM (SELECT n_chars AS c, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) GROUP BY ALL")
-def greedy_partition(spark, sf_dir, parts: int = 8):
-    """Documents of a chunk to the lightest of eight parts; even: no part is heavier than the lightest by more than a document."""
-    d = in_chunks(table(spark, sf_dir, "documents"), "doc_id", "n_chars", lambda s: lightest(s, parts))
-    p = d.groupBy("chunk", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("top"))
-    return p.groupBy("chunk").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), (F.max("chars") - F.min("chars") <= F.max("top")).alias("even"))
-
-
-@query("SELECT (i // 512)::BIGINT AS chunk, count(*) AS n, true AS under, greatest(1, ceil(sum(c) / 200000.0))::BIGINT <= count(*) AS enough FROM (SELECT n_chars AS c, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) GROUP BY ALL")
-def micro_batches(spark, sf_dir, most: int = 200000):
-    """Batches of a chunk's documents under a cap of characters; a document over it is alone with the cap broken."""
-    d = in_chunks(table(spark, sf_dir, "documents"), "doc_id", "n_chars", lambda s: under_cap(s, most), "batch")
-    b = d.groupBy("chunk", "batch").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("top"))
-    whole = Window.partitionBy("chunk")
-    b = b.withColumn("all", F.sum("chars").over(whole)).withColumn("hi", F.max("top").over(whole))
-    return b.groupBy("chunk").agg(F.sum("n").alias("n"), F.every(F.col("chars") <= F.greatest(F.lit(most), F.col("hi"))).alias("under"), (F.count(F.lit(1)) >= F.greatest(F.lit(1), F.ceil(F.max("all") / most))).alias("enough"))
-
-
-@query("SELECT (i // 512)::BIGINT AS chunk, count(*) AS n, sum(24576 * c + c * c)::BIGINT AS work, true AS even FROM (SELECT n_chars AS c, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) GROUP BY ALL")
-def balance_batch(spark, sf_dir, ranks: int = 4):
-    """The rows of a chunk to ranks of about equal work, 24576 L + L**2; even: within the largest row's work."""
-    w = table(spark, sf_dir, "documents").select("doc_id", (24576 * F.col("n_chars") + F.col("n_chars") * F.col("n_chars")).alias("work"))
-    d = in_chunks(w, "doc_id", "work", lambda s: lightest(s, ranks))
-    p = d.groupBy("chunk", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("work").alias("work"), F.max("work").alias("top"))
-    return p.groupBy("chunk").agg(F.sum("n").alias("n"), F.sum("work").alias("work"), (F.max("work") - F.min("work") <= F.max("top")).alias("even"))
-
-
-@query("SELECT 'before' AS what, chunk, max(s)::BIGINT AS hi, min(s)::BIGINT AS lo, round(avg(s), 4) AS mean FROM (SELECT (i // 512)::BIGINT AS chunk, i % 8 AS p, sum(c) AS s FROM (SELECT n_chars AS c, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) GROUP BY ALL) GROUP BY chunk")
-def seqlen_unbalance(spark, sf_dir, parts: int = 8):
-    """Largest, least and mean load of the parts, dealt in turn."""
-    d = numbered(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    p = d.groupBy(F.floor(F.col("_i") / CHUNK).alias("chunk"), (F.col("_i") % parts).alias("p")).agg(F.sum("n_chars").alias("s"))
-    return p.groupBy("chunk").agg(F.max("s").alias("hi"), F.min("s").alias("lo"), rnd(F.avg("s"), 4).alias("mean")).select(F.lit("before").alias("what"), "chunk", "hi", "lo", "mean")
-
-
-@query()
-def seqlen_balanced(spark, sf_dir, parts: int = 8):
-    """The same after the documents were dealt to the lightest part."""
-    p = in_chunks(table(spark, sf_dir, "documents"), "doc_id", "n_chars", lambda s: lightest(s, parts)).groupBy("chunk", "part").agg(F.sum("n_chars").alias("s"))
-    return p.groupBy("chunk").agg(F.max("s").alias("hi"), F.min("s").alias("lo"), rnd(F.avg("s"), 4).alias("mean")).select(F.lit("after").alias("what"), "chunk", "hi", "lo", "mean")
