@@ -307,7 +307,7 @@ def like_pairs(sets):
     return [(i, j) for i, j in maybe if jaccard(sets[i], sets[j]) >= near_copies.SIMILARITY]
 
 
-@pytest.mark.parametrize("exact", [6, 12])
+@pytest.mark.parametrize("exact", [4, 12])
 def test_near_copies_recall_on_the_table(exact):
     """Pairs of different texts of similarity 0.8 or more in sf0.1 against the drawings."""
     import pyarrow.parquet as pq
@@ -346,15 +346,15 @@ def test_near_copies_keep_a_cover_of_the_table(spark, sf):
 
 
 def test_drawings_grow_slowly():
-    """Copies of a fingerprint: constant to a million texts, then as the 0.24th power of their number."""
+    """Copies of a fingerprint: 28 at most to a million texts, then as the 0.24th power of their number."""
     copies = {n: near_copies.drawings(near_copies.exact_bits(n)) for n in (10**4, 10**5, 10**6, 10**8, 3 * 10**10)}
-    assert copies[10**4] == copies[10**5] == copies[10**6] == 28 and all(copies[n] < 1.25 * 28 * (n / 2**20) ** 0.24 for n in (10**8, 3 * 10**10))
+    assert copies[10**4] == copies[10**5] == 20 and copies[10**6] == 28 and all(copies[n] < 1.25 * 28 * (n / 2**20) ** 0.24 for n in (10**8, 3 * 10**10))
 
 
 def test_copies_do_not_grow_with_the_number_of_texts(spark, monkeypatch):
     """Rows that reach the tasks, for made fingerprints; with a small block as a stand-in for a large table."""
     monkeypatch.setattr(near_copies, "LEAST_EXACT", 1)
-    monkeypatch.setattr(near_copies, "_walk_group", lambda most: lambda group: pd.DataFrame({"a": group["id"], "b": pd.array([None] * len(group), "Int64")}))
+    monkeypatch.setattr(near_copies, "_walk_group", lambda most: lambda group: pd.DataFrame({"a": group["id"], "b": group["id"], "open": True}, index=group.index))
     monkeypatch.setattr(near_copies.DataFrame, "distinct", lambda self: self)
     for n in (2000, 16000):
         nodes = spark.range(n).select("id", *(F.xxhash64(F.lit(k), "id").alias(f"s{k}") for k in range(4)))
