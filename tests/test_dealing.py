@@ -71,3 +71,30 @@ def test_documents_are_dealt(spark):
     assert got.keys() == docs.keys() and max(loads) - min(loads) <= after["hi"] - after["lo"] <= before["apart"]
     batches = q["micro_batches"](spark, DIR).collect()
     assert sorted(r["batch"] for r in batches) == list(range(len(batches))) and sum(r["chars"] for r in batches) == sum(docs.values())
+
+
+def test_splits_share_kinds_and_fill_up(spark):
+    from tidegrove.plans.split import split
+
+    rows = [(kind, k, "", "p", "x") for kind, n in (("a", 3), ("b", 40), ("c", 40)) for k in range(n)]
+    asked = spark.createDataFrame(rows, "kind string, key bigint, sub string, part string, answer string").repartition(4)
+    for most, least in ((30, {"a": 3, "b": 10, "c": 10}), (83, {"a": 3, "b": 27, "c": 27}), (500, {"a": 3, "b": 40, "c": 40}), (2, {})):
+        got = split(asked, most, 3).collect()
+        n = {k: sum(r["kind"] == k for r in got) for k in "abc"}
+        assert len(got) == len(set(got)) == min(most, 83) and all(n[k] >= v for k, v in least.items())
+        assert sorted(got) == sorted(split(asked, most, 3).collect())
+    assert split(asked.limit(0), 30, 3).count() == 0
+
+
+def test_all_kinds_are_asked(spark):
+    """Every question of every kind, by its SQL."""
+    import duckdb
+
+    from tidegrove.plans.split import _ALL, KINDS, questions
+
+    c = duckdb.connect()
+    for t in ("events", "supplier", "part"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DIR}/{t}.parquet')")
+    want = {tuple(r[:3]): r[3] for r in c.sql(f"SELECT kind, part, sub, count(*) FROM ({_ALL}) GROUP BY ALL").fetchall()}
+    got = {(r["kind"], r["part"], r["sub"]): r["count"] for r in questions(spark, DIR).groupBy("kind", "part", "sub").count().collect()}
+    assert got == want and len(KINDS) == 35 and {k for k, _, _ in got} == set(KINDS)
