@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..registry import query, rnd, table
 from . import reasoning as R
 from .parsing import EVENT_TEXT_SQL, _events, _said, _two, answer_set, boxed, final_answer, finite, hash_answer, last_tagged, list_verdict, measure_blocks, normal_verdict, overlong, verifications
-from .scoring import WEIGHTS, WRONG_CAP, agreement, clamped, members, weighted
+from .scoring import WEIGHTS, WRONG_CAP, agreement, clamped, members, set_verdict, weighted
 from .text import FLOOR, answer_line, found, normal_answer, proximity, relative_accuracy, set_f1, think
 
 # The kinds of questions by the verdict that they ask for.
@@ -175,6 +175,18 @@ def supported(family: str, prediction: Column, truth: Column, rule, coherency) -
     return R.let(verdict, lambda v: weighted(family, v, coherency(prediction), agreement(verifications(prediction), verifications(truth)), evidence_score(prediction, truth), family != "enumeration"))
 
 
+#: Fixed value: what an answer without a set gets for it.
+NO_SET = 0.10
+
+
+def supported_set(prediction: Column, truth: Column) -> Column:
+    """The same for the set of a cluster: F1 of the members less a tenth for each too many; a truth without a set is empty, and a
+    wrong set holds nothing under a cap."""
+    none = F.array().cast("array<string>")
+    verdict = R.let(F.struct(answer_set(prediction).alias("p"), F.coalesce(answer_set(truth), none).alias("g")), lambda s: F.when(s["p"].isNull(), NO_SET).otherwise(set_verdict(s["p"], s["g"])))
+    return R.let(verdict, lambda v: weighted("verdict", v, R.cluster_members(prediction), agreement(verifications(prediction), verifications(truth)), evidence_score(prediction, truth), False))
+
+
 def _block(v: Column, more: str = "") -> list:
     return ["metric: A\noverall trend=increase, start=", _two(v), ", end=2, amp=3\nstats: mean=", _two(v), more, "\n===\nvs B: ", F.when(F.col("even"), "PASS").otherwise("FAIL"), "."]
 
@@ -196,6 +208,19 @@ def score_mts_verdict(spark, sf_dir):
     return e.select("event_id", r(supported("verdict", F.col("p"), F.col("g"), rule, R.pair_verdict)).alias("pair"), r(supported("verdict", F.col("w"), F.col("g"), rule, R.pair_verdict)).alias("wrong"), r(WEIGHTS["enumeration"][0] * enumeration(answer_line(F.col("p")), answer_line(F.col("g"))) + WEIGHTS["enumeration"][3] * evidence_score(F.col("p"), F.col("g"))).alias("enumeration"), r(evidence_score(F.col("p"), F.col("g"))).alias("description"))
 
 
+@query(PROOF_SQL + """SELECT event_id, round(0.25 * ev + CASE WHEN even THEN 0.55 + 0.05 + 0.15 WHEN event_type = 'click' THEN 0.55 * 0.72 WHEN event_type = 'view' THEN 0.55 * 0.36 + 0.05 * 0.5 WHEN event_type = 'error' THEN 0.55 * 0.1 + 0.05 * 0.5 ELSE 0.05 END, 4) AS score FROM s""")
+def score_mts_set(spark, sf_dir):
+    """Answers that name a cluster: the right one, one with a member too many, one with a wrong member, none, and no answer."""
+    c = F.col
+    checks = F.when(c("even"), "\nvs B: PASS.\nvs C: PASS.").otherwise("\nvs B: FAIL.\nvs C: FAIL.")
+    said = F.when(c("even"), "(c, B)").when(c("event_type") == "click", "(B, C, D)").when(c("event_type") == "view", "(C, D, E)").otherwise("()")
+    line = F.when(~c("even") & (c("event_type") == "error"), "").otherwise(F.concat(F.lit("\nanswer: "), said))
+    told = _said("metric: A\noverall trend=increase, start=", _two(c("v")), ", end=2, amp=3\nstats: mean=", _two(c("v")), "\n===", checks, line)
+    truth = F.lit("metric: A\noverall trend=increase, start=20.00, end=2, amp=3\nstats: mean=20.00\n===\nvs B: PASS.\nvs C: PASS.\nanswer: (B, C)")
+    e = _events(spark, sf_dir).select("event_id", told.alias("p"), truth.alias("g"))
+    return e.select("event_id", rnd(supported_set(c("p"), c("g")), 4).alias("score"))
+
+
 @query(PROOF_SQL + "SELECT event_id, round(CASE WHEN even THEN 0.55 + 0.05 * CASE WHEN v > 50 THEN 1 ELSE 0 END + 0.15 + 0.25 ELSE least(0.1, 0.55 * 0.05 + 0.05 * CASE WHEN v > 50 THEN 0 ELSE 1 END + 0.15 + 0.25) END, 4) AS score, round(CASE WHEN even THEN 0.60 + 0.05 * CASE WHEN v > 50 THEN 1 ELSE 0 END + 0.20 + 0.15 ELSE least(0.1, 0.60 * 0.05 + 0.05 * CASE WHEN v > 50 THEN 0 ELSE 1 END + 0.20 + 0.15) END, 4) AS anti FROM s")
 def score_yes_no(spark, sf_dir):
     """Yes or no with a point of comparison, and the judgment of opposite channels by its own weights."""

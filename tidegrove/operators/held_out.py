@@ -154,3 +154,12 @@ def periodicity(spark, sf_dir):
     made = _made(spark, sf_dir)
     t = points(made).groupBy("sid").agg(rnd(F.stddev_pop("value"), 2).alias("sd"), rnd(F.max("value") - F.min("value"), 2).alias("r"))
     return made.join(t, "sid").select("sid", (F.col("period") > 0).alias("periodic"), rnd(F.col("period").cast("double"), 1).alias("period"), rnd(F.col("n") / F.col("period"), 1).alias("cycles"), (F.col("amplitude") > F.col("sd")).alias("over_std"), (F.col("amplitude") > F.col("r") / 4).alias("over_quarter_range"))
+
+
+@query(MADE_SQL + "SELECT sid, amplitude > round(sd, 2) AS over_std, round(amplitude / r, 4) AS share, amplitude > round(r, 2) / 4 AS over_quarter_range FROM u JOIN (SELECT sid, stddev_pop(value) AS sd, max(value) - min(value) AS r FROM v GROUP BY sid) USING (sid) WHERE r > 0")
+def amplitude_vs_range(spark, sf_dir):
+    """The season's amplitude against the deviation of all points and a quarter of their range; flat series are left out."""
+    made = _made(spark, sf_dir)
+    t = points(made).groupBy("sid").agg(F.stddev_pop("value").alias("sd"), (F.max("value") - F.min("value")).alias("r")).where("r > 0")
+    a = F.col("amplitude")
+    return made.join(t, "sid").select("sid", (a > rnd("sd", 2)).alias("over_std"), rnd(a / F.col("r"), 4).alias("share"), (a > rnd("r", 2) / 4).alias("over_quarter_range"))

@@ -160,3 +160,18 @@ def throughput(spark, sf_dir, devices: int = 8):
     """Tokens a second and device of each step."""
     n, s = F.count(F.lit(1)), F.sum("value")
     return table(spark, sf_dir, "events").groupBy((F.col("user_id") % 4).alias("step")).agg(n.alias("tokens"), rnd(s, 4).alias("seconds"), rnd(n / (s * devices), 6).alias("tokens_a_second"))
+
+
+def padded_rows(rows: DataFrame, values: str, batch: str, fill: Column, least: int = 0) -> DataFrame:
+    """``rows`` with lists of one length in each batch: the longest list's, ``least`` at least; filled at the end. The longest
+    is found by a maximum that Spark combines before its shuffle, so lists don't travel for it."""
+    size = rows.groupBy(batch).agg(F.greatest(F.max(F.size(values)), F.lit(least)).alias("_size"))
+    return rows.join(size, batch).withColumn(values, F.concat(values, F.array_repeat(fill, F.col("_size") - F.size(values)))).drop("_size")
+
+
+@query(STEP_SQL + ", a AS (SELECT g, list(token ORDER BY t) AS x FROM st GROUP BY g), m AS (SELECT g // 16 AS batch, greatest(3, max(len(x))) AS size FROM a GROUP BY 1) SELECT g, batch, len(x) AS n, array_to_string(list_concat(x, list_transform(range(size - len(x)), lambda i: -1)), ' ') AS tokens FROM a JOIN m ON g // 16 = batch")
+def pad_2d(spark, sf_dir, size: int = 16, least: int = 3):
+    """Tokens of the answers of a batch as lists of one length."""
+    a = sequences(steps(spark, sf_dir), "token").withColumn("batch", F.expr(f"g div {size}")).withColumn("n", F.size("token").cast("bigint"))
+    p = padded_rows(a, "token", "batch", F.lit(-1).cast("bigint"), least)
+    return p.select("g", "batch", "n", F.array_join("token", " ").alias("tokens"))
