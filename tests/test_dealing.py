@@ -98,3 +98,15 @@ def test_all_kinds_are_asked(spark):
     want = {tuple(r[:3]): r[3] for r in c.sql(f"SELECT kind, part, sub, count(*) FROM ({_ALL}) GROUP BY ALL").fetchall()}
     got = {(r["kind"], r["part"], r["sub"]): r["count"] for r in questions(spark, DIR).groupBy("kind", "part", "sub").count().collect()}
     assert got == want and len(KINDS) == 35 and {k for k, _, _ in got} == set(KINDS)
+
+
+def test_a_changed_source_is_staged_anew(spark, tmp_path):
+    from tidegrove.sources.files import staged
+
+    source = str(tmp_path / "t.parquet")
+    spark.range(3).coalesce(1).write.parquet(source)
+    first = staged(spark, source)
+    assert first == staged(spark, source) and spark.read.parquet(first).count() == 3
+    spark.range(5).coalesce(1).write.mode("overwrite").parquet(source)
+    again = staged(spark, source)
+    assert again != first and spark.read.parquet(again).count() == 5

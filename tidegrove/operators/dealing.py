@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query, rnd, table
-from ..streaming.growth import shared_dir
+from ..streaming.growth import fixed
 
 #: Stretches of the key's hash that the rows of one size are cut into; runs that a task merges.
 STRETCHES, TOGETHER = 256, 512
@@ -77,14 +77,6 @@ def difference(tuples: np.ndarray) -> np.ndarray:
     return out
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: later levels start from it."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
 def differenced(rows: DataFrame, key: str, size: str, parts: int) -> DataFrame:
     """(key, size, part) of every row. Counts of parts differ by one at most, loads by what the sizes of one run span."""
     placed = by_size(rows, key, size).withColumn("group", F.expr(f"place div {parts * TOGETHER}"))
@@ -96,7 +88,7 @@ def differenced(rows: DataFrame, key: str, size: str, parts: int) -> DataFrame:
         tuples = np.append(sizes, np.zeros(-len(sizes) % parts, np.int64)).reshape(-1, parts)
         return group.assign(part=difference(tuples).ravel()[: len(sizes)])[[key, size, "group", "part"]]
 
-    out = _kept(placed.groupBy("group").applyInPandas(runs, f"{key} {kinds[key]}, {size} bigint, group bigint, part int"))
+    out = fixed(placed.groupBy("group").applyInPandas(runs, f"{key} {kinds[key]}, {size} bigint, group bigint, part int"))
     loads = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda p: F.coalesce(F.try_element_at(F.col("m"), p), F.lit(0).cast("bigint")))
     tuples = out.groupBy("group", "part").agg(F.sum(size).alias("load")).groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("part", "load"))).alias("m")).select("group", loads.alias("loads"))
 
@@ -107,9 +99,9 @@ def differenced(rows: DataFrame, key: str, size: str, parts: int) -> DataFrame:
 
     while tuples.agg(F.max("group")).first()[0]:
         level = tuples.withColumn("upper", F.expr(f"`group` div {TOGETHER}")).groupBy("upper").applyInPandas(merged, "group bigint, upper bigint, loads array<bigint>, moves array<int>")
-        level = _kept(level)
+        level = fixed(level)
         moved = out.join(level.select("group", "upper", "moves"), "group")
-        out = _kept(moved.select(key, size, F.col("upper").alias("group"), F.col("moves")[F.col("part")].alias("part")))
+        out = fixed(moved.select(key, size, F.col("upper").alias("group"), F.col("moves")[F.col("part")].alias("part")))
         each = level.select("upper", F.explode(F.arrays_zip("loads", "moves")).alias("x")).groupBy(F.col("upper").alias("group"), F.col("x.moves").alias("part")).agg(F.sum("x.loads").alias("load"))
         tuples = each.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("part", "load"))).alias("m")).select("group", loads.alias("loads"))
     return out.select(key, size, "part")

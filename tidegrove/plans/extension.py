@@ -14,6 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.parsing import EVENT_TEXT_SQL, _events, _said, _two
 from ..operators.groupstats import SCORE_SQL, scores
 from ..registry import query, rnd, table
+from ..streaming.growth import fixed
 from .inference import infer
 
 
@@ -153,15 +154,17 @@ def dispatch_mode(spark, sf_dir):
 
 def rounds(seeds: DataFrame, prompt: Column, good: Column, make_client, most: int, tries: int = 3) -> DataFrame:
     """Seeds asked of a client round by round: replies that are good are kept, other seeds are asked again with the number of
-    the round, until ``most`` are there or ``tries`` rounds are over. Each round reads what the last one left."""
-    left, kept = seeds, None
+    the round, until ``most`` are there or ``tries`` rounds are over. Each round's replies are checkpointed, so no seed is asked
+    twice for one number and the next round reads what was left."""
+    left, kept, n = seeds, None, 0
     for k in range(tries):
         asked = infer(left.withColumn("_prompt", F.concat(prompt, F.lit(f" #{k}"))), "_prompt", "reply", make_client).withColumn("round", F.lit(k)).withColumn("_good", F.coalesce(good, F.lit(False)))
-        asked = asked.persist()
+        asked = fixed(asked)
         now = asked.where("_good").drop("_good", "_prompt")
         kept = now if kept is None else kept.unionByName(now)
         left = asked.where("NOT _good").drop("_good", "_prompt", "reply", "round")
-        if kept.count() >= most or left.isEmpty():
+        n += now.count()
+        if n >= most or left.isEmpty():
             break
     return kept
 

@@ -73,10 +73,14 @@ def copy(spark: SparkSession, source: str, target: str) -> str:
 
 
 def staged(spark: SparkSession, source: str) -> str:
-    """A copy in the shared folder, named by its source, made once."""
+    """A copy in the shared folder, made once for each state of its source: named by place, time of change, size and number of
+    files, so a source that was written anew is copied anew."""
     base = f"{shared_dir(spark)}/staged"
     make_dir(spark, base)
-    return copy(spark, source, f"{base}/{uuid.uuid5(uuid.NAMESPACE_URL, source).hex}")
+    at, files = _hadoop(spark, source)
+    inside = files.getContentSummary(at)
+    state = f"{source}|{files.getFileStatus(at).getModificationTime()}|{inside.getLength()}|{inside.getFileCount()}"
+    return copy(spark, source, f"{base}/{uuid.uuid5(uuid.NAMESPACE_URL, state).hex}")
 
 
 def fresh(spark: SparkSession, name: str) -> str:

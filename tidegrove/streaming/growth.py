@@ -24,6 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return (base or tempfile.mkdtemp(prefix="tidegrove-")).rstrip("/")
 
 
+def fixed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of ``df``: what follows starts from it, also after an executor is lost."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def grow(source: str, schema, target: str, checkpoint: str, change: Callable[[DataFrame], DataFrame] = lambda df: df, files_a_batch: int = 1000) -> Callable[[SparkSession], None]:
     """Appends the changed rows of all files new in ``source`` since the last call to ``target``."""
 
