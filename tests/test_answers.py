@@ -140,8 +140,17 @@ def test_answers_of_mathematics_in_one_form(spark):
     assert len(P.REMOVED) == 41 and len(set(P.REMOVED)) == 41
 
 
-def test_events_are_read_without_a_shuffle(spark):
-    for name in ("compute_score", "reasoning_coherency", "extract_metric_blocks"):
-        from tidegrove import catalog
-
-        assert "Exchange" not in catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+def test_tables_of_many_tasks_are_read_without_a_shuffle(spark, tmp_path):
+    """A table with a scan task for each core or more isn't dealt out; one small file is."""
+    from tidegrove import catalog
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(2 * spark.sparkContext.defaultParallelism).write.parquet(str(tmp_path / "events.parquet"))
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a task for each file
+        for name in ("compute_score", "reasoning_coherency", "extract_metric_blocks"):
+            plan = lambda folder: catalog.queries()[name](spark, str(folder))._jdf.queryExecution().executedPlan().toString()  # noqa: B023, E731
+            assert "Exchange" not in plan(tmp_path) and "Exchange" in plan("/root/testdata/sf0.001")
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)

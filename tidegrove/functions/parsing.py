@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators.generators import spread_few
 from ..registry import query, rnd, table
 from .brackets import last_object, until_closed
 from .reasoning import let, reasoning
@@ -228,7 +229,7 @@ EVENT_TEXT_SQL = "WITH e AS (SELECT event_id, user_id, event_type, round(value,
 
 
 def _events(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    e = spread_few(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"))
     return e.select("event_id", "user_id", "event_type", rnd("value", 2).alias("v"), (F.col("user_id") % 2 == 0).alias("even"))
 
 

@@ -53,6 +53,12 @@ def spread(ids: DataFrame) -> DataFrame:
     return ids.repartition(4 * ids.sparkSession.sparkContext.defaultParallelism)
 
 
+def spread_few(rows: DataFrame) -> DataFrame:
+    """``rows`` of a table, dealt out if its scan has fewer tasks than there are cores. So only what is under one scan task's
+    bytes for each core is ever shuffled for it; a larger table is read as it lies, without an exchange."""
+    return spread(rows) if rows.rdd.getNumPartitions() < rows.sparkSession.sparkContext.defaultParallelism else rows
+
+
 def points(made: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(sid, pos, value) of each series described in ``made``, and the attributes to keep."""
     p = made.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"))
