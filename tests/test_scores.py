@@ -106,3 +106,13 @@ def test_inference_tries_again_and_keeps_nulls(spark):
     assert infer(rows.where("false"), "t", "said", client).count() == 0
     with pytest.raises(ValueError):
         infer(rows, "t", "id", client)
+
+
+def test_chunks_at_the_mean_are_not_above_it(spark):
+    """A chunk that equals the mean of all is not above it, in whatever order the chunks are summed."""
+    from tidegrove.operators.series import above_mean_share
+
+    order = list(itertools.permutations([73.13, 58.5, 22.1, 2.35, 39.02]))  # 39.02 is the mean; the sums of doubles fall short
+    rows = [(sid, k, m) for sid, ms in enumerate(order) for k, m in enumerate(ms)]
+    got = above_mean_share(spark.createDataFrame(rows, "sid int, k int, m double")).collect()
+    assert len(got) == len(order) and {r["share"] for r in got} == {0.4}
