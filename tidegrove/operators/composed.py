@@ -11,7 +11,7 @@ from .comparisons import SHAPE_SQL, compared
 from .cross import CHANNEL_SQL, WIDTH, channels, pairs
 from .generators import MADE_SQL, _made, points
 from .segments import SEGMENT_SQL, in_segment, local_events, segment, segments
-from .series import CHUNK_SQL, HALF, POS, SERIES_SQL, chunks, first_max, part, series
+from .series import CHUNK_SQL, HALF, POS, SERIES_SQL, chunks, first_max, part, series, with_moments
 
 BAND = 0.05
 
@@ -25,9 +25,7 @@ t AS (SELECT sid, avg(value) AS mean, stddev_pop(value) AS std, max(value) AS hi
  {'sub_type': 'segment_compare', 'v': CASE WHEN abs(round(h1, 2) - round(h2, 2)) <= 0.05 * greatest(abs(round(h1, 2)), abs(round(h2, 2))) THEN 'equal' WHEN round(h1, 2) > round(h2, 2) THEN 'first half' ELSE 'second half' END}, {'sub_type': 'windowed_mean', 'v': round(win, 2)::VARCHAR}, {'sub_type': 'windowed_trend', 'v': CASE WHEN round(t3, 2) > round(t1, 2) THEN 'increase' WHEN round(t3, 2) < round(t1, 2) THEN 'decrease' ELSE 'keep steady' END}], recursive := true) FROM t)""")
 def stat_numerical(spark, sf_dir):
     """All fourteen sub-types of each series from one aggregation, a row each; numbers as text, as answers are."""
-    p = series(spark, sf_dir)
-    mu = p.groupBy("sid").agg(F.avg("value").alias("mu"))
-    p = p.join(mu, "sid").withColumn("g", F.signum(F.col("value") - rnd("mu", 2)))
+    p = with_moments(series(spark, sf_dir)).withColumn("g", F.signum(F.col("value") - rnd("mu", 2)))
     p = p.withColumn("c", (F.lag("g").over(Window.partitionBy("sid").orderBy("pos")) != F.col("g")).cast("int"))
     third = F.floor(F.col("n") / 3)
     a = lambda cond: rnd(F.avg(part(cond)), 2)
