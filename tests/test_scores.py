@@ -141,3 +141,25 @@ def test_values_at_the_mean_follow_the_order_of_time(spark, tmp_path, name):
     cols = want.columns
     digits = lambda v: round(v, 6) if isinstance(v, float) else v
     assert {tuple(digits(r[x]) for x in cols) for r in got.collect()} == {tuple(map(digits, r)) for r in want.fetchall()}
+
+
+def test_one_answer_outweighs_many(spark, tmp_path):
+    """Of 100000 answers one has a third of all weight, the others too little each for eight digits."""
+    import duckdb
+
+    made = "SELECT k AS l_orderkey, k AS l_partkey, 1::BIGINT AS l_suppkey, 1 AS l_linenumber, CASE WHEN k = 7 THEN 50 ELSE 25.1 END::DOUBLE AS l_quantity, 0.05::DOUBLE AS l_discount, 0.04::DOUBLE AS l_tax FROM range(100000) r(k)"
+    duckdb.sql(f"COPY ({made}) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    got = catalog.queries()["pf_resample"](spark, str(tmp_path)).first()
+    assert got["rows"] == got["drawn"] == 100000 and got["fair"]
+
+
+def test_resampled_draws_as_many_as_rows(spark):
+    """Weights that are no short binary fractions, one heavy row, zeros, one row alone."""
+    from tidegrove.operators.rollouts import resampled
+
+    for weights in ([0.1] * 30000, [1 / 3, 0.0] * 5000 + [1e4 / 7], [0.3]):
+        d = spark.createDataFrame([(k, w) for k, w in enumerate(weights)], "k int, w double")
+        got = {r["k"]: r["drawn"] for r in resampled(d, "k", "w").collect()}
+        n, total = len(weights), sum(weights)
+        assert len(got) == n == sum(got.values())
+        assert all(abs(got[k] - n * w / total) < 1 + 1e-6 for k, w in enumerate(weights))

@@ -106,35 +106,43 @@ def offpolicy_metrics(spark, sf_dir):
 def pf_weights(spark, sf_dir, power: float = 2.0):
     """Preference weights of answers by the distance of their score from even: a power of it, or its extremes alone. Distances are
     rounded, so that equal extremes are equal in whatever order they were summed."""
+    return preferences(spark, sf_dir, power).select("g", rnd("power", 8).alias("power"), rnd("ends", 8).alias("ends"))
+
+
+def preferences(spark, sf_dir, power: float = 2.0) -> DataFrame:
+    """The weights of ``pf_weights`` in full: among millions of answers each is so small that eight digits don't hold it."""
     q = steps(spark, sf_dir).groupBy("g").agg(rnd(F.abs(F.avg("s") - 0.5), 6).alias("d"))
     b = q.agg(F.max("d").alias("hi"), F.min("d").alias("lo"))
     w = q.join(F.broadcast(b)).select("g", F.pow("d", F.lit(power)).alias("power"), ((F.col("d") == F.col("hi")) | (F.col("d") == F.col("lo"))).cast("double").alias("ends"))  # one row
     total = w.agg(F.sum("power").alias("p"), F.sum("ends").alias("e"))
-    return w.join(F.broadcast(total)).select("g", rnd(F.col("power") / F.col("p"), 8).alias("power"), rnd(F.col("ends") / F.col("e"), 8).alias("ends"))  # one row
+    return w.join(F.broadcast(total)).select("g", (F.col("power") / F.col("p")).alias("power"), (F.col("ends") / F.col("e")).alias("ends"))  # one row
 
 
 def resampled(weighted: DataFrame, key: str, weight: str, seed: int = 42) -> DataFrame:
     """(key, drawn): as many draws as rows, by weight, systematically: draw i falls at (i + u) / n of the summed weights, so a
-    row is drawn floor(n w) or one more times. Sums are taken within stretches of the key and moved up by those before."""
+    row is drawn floor(n w) or one more times. Sums are taken within stretches of the key and moved up by those before; a row
+    begins where the one before it ends, to the last digit, so that no draw is lost or made twice."""
     from .algebra import STRETCHES
 
     stretch = F.pmod(F.xxhash64(key), F.lit(STRETCHES))
     rows = weighted.withColumn("_b", stretch)
     sizes = rows.groupBy("_b").agg(F.sum(weight).alias("_w"), F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(F.lit(0))  # STRETCHES rows at most
-    sizes = sizes.select("_b", F.coalesce(F.sum("_w").over(before), F.lit(0.0)).alias("_before"), F.sum("_n").over(every).alias("_all"), F.sum("_w").over(every).alias("_total"))
-    own = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_own", F.sum(weight).over(own)).join(F.broadcast(sizes), "_b")
-    u = (seed % 97) / 97.0
-    at = lambda x: F.ceil(x * F.col("_all") / F.col("_total") - u)  # noqa: E731  draws that fall before x
-    return rows.select(key, (at(F.col("_before") + F.col("_own")) - at(F.col("_before") + F.col("_own") - F.col(weight))).cast("bigint").alias("drawn"))
+    order = Window.orderBy("_b")  # STRETCHES rows at most
+    upto, every = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sizes = sizes.select("_b", F.sum("_w").over(upto).alias("_end"), F.sum("_n").over(every).alias("_all"), F.sum("_w").over(every).alias("_total"))
+    sizes = sizes.withColumn("_before", F.coalesce(F.lag("_end").over(order), F.lit(0.0)))
+    own = Window.partitionBy("_b").orderBy(key)
+    rows = rows.withColumn("_own", F.sum(weight).over(own.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_last", F.lead(F.lit(1)).over(own).isNull())
+    end = F.when(F.col("_last"), F.col("_end")).otherwise(F.least(F.col("_before") + F.col("_own"), F.col("_end")))
+    rows = rows.join(F.broadcast(sizes), "_b").withColumn("_to", F.ceil(end * F.col("_all") / F.col("_total") - (seed % 97) / 97.0))  # draws that fall before its end
+    first = F.ceil(F.col("_before") * F.col("_all") / F.col("_total") - (seed % 97) / 97.0)
+    return rows.select(key, (F.col("_to") - F.coalesce(F.lag("_to").over(own), first)).cast("bigint").alias("drawn"))
 
 
 @query("SELECT count(*) AS rows, count(*) AS drawn, true AS fair FROM (SELECT DISTINCT l_orderkey FROM lineitem)")
 def pf_resample(spark, sf_dir):
     """A batch drawn again by preference: as many rows, each about as often as its weight says."""
-    w = pf_weights(spark, sf_dir)
+    w = preferences(spark, sf_dir)
     d = resampled(w, "g", "power").join(w, "g")
     n = w.count()
     return d.agg(F.count(F.lit(1)).alias("rows"), F.sum("drawn").alias("drawn"), F.every(F.abs(F.col("drawn") - n * F.col("power")) < 1.01).alias("fair"))
