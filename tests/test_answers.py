@@ -154,3 +154,27 @@ def test_tables_of_many_tasks_are_read_without_a_shuffle(spark, tmp_path):
             assert "Exchange" not in plan(tmp_path) and "Exchange" in plan("/root/testdata/sf0.001")
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", old)
+
+
+def test_row_groups_that_few_tasks_hold_are_dealt_out(spark, tmp_path, monkeypatch):
+    """A file of many scan tasks whose rows lie in one row group, and tasks of too many rows: no task gets more than its share."""
+    from tidegrove.operators import generators
+
+    spark.read.parquet("/root/testdata/sf0.01/events.parquet").coalesce(1).write.parquet(str(tmp_path / "one"))
+    sizes = lambda df: [len(x) for x in df.rdd.glom().collect()]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, "8k")
+        e = spark.read.parquet(str(tmp_path / "one"))
+        assert e.rdd.getNumPartitions() >= 16 and max(sizes(e)) == 10000
+        got = sizes(generators.dealt(e))
+        assert sum(got) == 10000 and max(got) <= 10000 / 32 + 32
+        many = e.repartition(16).localCheckpoint()
+        assert generators.dealt(many).rdd.getNumPartitions() == 16
+        monkeypatch.setattr(generators, "TASK_ROWS", 100)
+        got = sizes(generators.dealt(many))
+        assert sum(got) == 10000 and len(got) == 100 and max(got) <= 120
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
