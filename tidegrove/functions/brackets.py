@@ -35,14 +35,16 @@ def last_object(text: Column) -> Column:
     r"""The last {...} of a text that is closed and in no other. Braces in "strings" don't count, nor quotes behind a \ there."""
 
     def turn(a: Column, t: Column) -> Column:
-        at, width = a["at"] + F.char_length(t), F.char_length(t)
+        width = F.char_length(t)
         # a backslash says nothing outside of strings: what is behind it counts as it stands
         said = F.when(width > 2, "").when(a["quoted"], F.when(t == '"', t).otherwise("")).otherwise(F.substring(t, -1, 1))
-        opens, closes, quote = said == "{", said == "}", said == '"'
-        done = closes & (a["depth"] == 1) & (a["start"] >= 0)
-        start = F.when(opens & (a["depth"] == 0), at - 1).when(done, -1).otherwise(a["start"])
-        depth = F.when(opens, a["depth"] + 1).when(closes, a["depth"] - 1).otherwise(a["depth"])
-        return _state(at, depth, a["quoted"] != quote, start, F.when(done, a["start"]).otherwise(a["first"]), F.when(done, at).otherwise(a["after"]))
+        seen = _let(F.struct(said.alias("said"), (a["at"] + width).alias("at")), lambda x: F.struct(x["at"].alias("at"), (x["said"] == "{").alias("opens"), (x["said"] == "}").alias("closes"), (x["said"] == '"').alias("quote"), ((x["said"] == "}") & (a["depth"] == 1) & (a["start"] >= 0)).alias("done")))
+        return _let(seen, lambda x: after(a, x))
+
+    def after(a: Column, x: Column) -> Column:
+        start = F.when(x["opens"] & (a["depth"] == 0), x["at"] - 1).when(x["done"], -1).otherwise(a["start"])
+        depth = F.when(x["opens"], a["depth"] + 1).when(x["closes"], a["depth"] - 1).otherwise(a["depth"])
+        return _state(x["at"], depth, a["quoted"] != x["quote"], start, F.when(x["done"], a["start"]).otherwise(a["first"]), F.when(x["done"], x["at"]).otherwise(a["after"]))
 
     return _found(text, _OBJECTS, 0, turn)
 
