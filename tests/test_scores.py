@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,26 @@ def test_events_score_of_nothing():
     assert E.events_score(bare, one, 9) == pytest.approx(0.13)
 
 
+def test_lists_of_equal_lengths_are_scored_together(monkeypatch):
+    """A batch gives what its lists give one by one, looks each pair of types up once a shape, and assigns each shape once."""
+    rng = np.random.default_rng(11)
+    words = ["spike", "upward spike", "shake", None]
+    event = lambda: {"type": words[rng.integers(4)], "pos": None if rng.random() < 0.2 else float(rng.integers(20)), "amplitude": None if rng.random() < 0.2 else float(rng.integers(-5, 5))}
+    lists = [[[event() for _ in range(rng.integers(4))] for _ in range(600)] for _ in "pg"]
+    lists[0][0] = lists[1][1] = None
+    seen, shapes, plain, assign_all = [], [], E.similarity, E.assign_all
+    monkeypatch.setattr(E, "similarity", lambda a, b: seen.append((a, b)) or plain(a, b))
+    monkeypatch.setattr(E, "assign_all", lambda gain: shapes.append(gain.shape) or assign_all(gain))
+    got = E.events_scores(*(pa.array(x, pa.list_(E.EVENT)) for x in lists), np.full(600, 9.0))
+    assert len(shapes) == 9 and len(seen) <= 9 * 16
+    for p, g, x in zip(*lists, got, strict=True):
+        if p and g:
+            gain = np.array([[E.pair_score(a, b, 9.0) for a in p] for b in g])
+            assert x == pytest.approx(max(best_sum(gain) / max(len(p), len(g)), 0.08 + 0.05 * (len(p) == len(g))))
+        else:
+            assert x == (0.0 if g else max(0.0, 1 - 0.2 * len(p or [])))
+
+
 def test_similarity_is_the_same_as_a_column(spark):
     words = [None, "", "steady", "Keep_Steady", "keep steady", "upward spike", "downward spike", "wide upward spike", "sudden increase", "flat", "odd spike", "spike", "increase"]
     pairs = list(itertools.product(words, words))

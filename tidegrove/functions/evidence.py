@@ -1,13 +1,15 @@
 """How near listed segments and events are to the true ones.
 
 Segments are compared place by place with array functions. Events have no order: each predicted one is given to at most
-one true one so that the sum of their scores is largest, in an Arrow batch, as no built-in assigns.
+one true one so that the sum of their scores is largest, in Arrow batches, as no built-in assigns; lists of equal lengths are
+assigned together.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,35 +69,50 @@ def segments_score(predicted: Column, truth: Column, length: Column) -> Column:
     return F.when((n <= 0) & (m <= 0), 1.0).when((n <= 0) | (m <= 0), 0.0).otherwise(F.greatest(raw, SEGMENT_FLOOR + F.when(n == m, COUNT_BONUS).otherwise(0.0)))
 
 
+def assign_all(gain: np.ndarray) -> np.ndarray:
+    """Of many matrices of one shape, with no more rows than columns, the columns of the rows so that the sum of their gains is
+    largest, each column once: shortest augmenting paths, a step of all matrices at a time."""
+    many, rows, cols = gain.shape
+    u, v, owner = np.zeros((many, rows)), np.zeros((many, cols)), np.full((many, cols), -1)
+    for start in range(rows):
+        best, back, done = np.full((many, cols), np.inf), np.full((many, cols), -1), np.zeros((many, cols), bool)
+        row, col, seen = np.full(many, start), np.full(many, -1), np.zeros((many, rows), bool)
+        live = np.arange(many)
+        while live.size:
+            r, near, way, shut = row[live], best[live], back[live], done[live]
+            seen[live, r] = True
+            slack = -gain[live, r] - u[live, r][:, None] - v[live]
+            closer = ~shut & (slack < near)
+            near, way = np.where(closer, slack, near), np.where(closer, col[live][:, None], way)
+            nxt = np.where(shut, np.inf, near).argmin(axis=1)
+            at = np.arange(live.size), nxt
+            d = near[at][:, None]
+            u[live] += d * seen[live]
+            v[live] -= d * shut
+            best[live], back[live] = near - d * ~shut, way
+            shut[at] = True
+            done[live], col[live] = shut, nxt
+            taken = owner[live, nxt]
+            live = live[taken >= 0]
+            row[live] = taken[taken >= 0]
+        live = np.arange(many)
+        while live.size:
+            c = col[live]
+            prev = back[live, c]
+            owner[live, c] = np.where(prev >= 0, owner[live, prev], start)
+            col[live] = prev
+            live = live[prev >= 0]
+    out = np.empty((many, rows), int)
+    k, c = np.nonzero(owner >= 0)
+    out[k, owner[k, c]] = c
+    return out
+
+
 def assign(gain: np.ndarray) -> list[tuple[int, int]]:
-    """(row, column) pairs with the largest sum of gains, each row and column once: shortest augmenting paths."""
+    """(row, column) pairs with the largest sum of gains, each row and column once."""
     if gain.shape[0] > gain.shape[1]:
         return sorted((r, c) for c, r in assign(gain.T))
-    rows, cols = gain.shape
-    u, v, owner = np.zeros(rows), np.zeros(cols), np.full(cols, -1)
-    for start in range(rows):
-        best, back, done = np.full(cols, np.inf), np.full(cols, -1), np.zeros(cols, bool)
-        row, col, seen = start, -1, [start]
-        while True:
-            slack = -gain[row] - u[row] - v
-            closer = ~done & (slack < best)
-            best[closer], back[closer] = slack[closer], col
-            step = np.where(done, np.inf, best)
-            nxt = int(step.argmin())
-            d = step[nxt]
-            u[seen] += d
-            v[done] -= d
-            best[~done] -= d
-            done[nxt], col = True, nxt
-            if owner[nxt] < 0:
-                break
-            row = owner[nxt]
-            seen.append(row)
-        while col >= 0:
-            prev = back[col]
-            owner[col] = owner[prev] if prev >= 0 else start
-            col = prev
-    return sorted((int(r), c) for c, r in enumerate(owner) if r >= 0)
+    return list(enumerate(assign_all(gain[None])[0].tolist()))
 
 
 def pair_score(p: dict, g: dict, length: float) -> float:
@@ -106,21 +123,57 @@ def pair_score(p: dict, g: dict, length: float) -> float:
     return (t + (0.5 + 0.5 * t) * sum(rest)) / (1 + len(rest))
 
 
+def gains(p: dict, g: dict, length: np.ndarray, words: list[str]) -> np.ndarray:
+    """``pair_score`` of each true event (second axis) with each told one (third), for many lists of one length. Types are places
+    in ``words``, of which each pair is looked up once; what is not given is NaN."""
+    both, at = np.unique(g["type"][:, :, None] * len(words) + p["type"][:, None, :], return_inverse=True)
+    t = np.array([similarity(*(words[w] for w in divmod(x, len(words)))) for x in both.tolist()])[at].reshape(len(length), g["type"].shape[1], p["type"].shape[1])
+    scales = {"pos": K_POSITION * np.maximum(length, 1e-6)[:, None, None], "amplitude": K_AMPLITUDE * np.maximum(np.abs(g["amplitude"]), 1e-6)[:, :, None]}
+    rest, n = np.zeros(t.shape), 1
+    for k, scale in scales.items():
+        rest += np.nan_to_num(np.exp(-np.abs(p[k][:, None, :] - g[k][:, :, None]) / scale))
+        n = n + ~np.isnan(g[k])[:, :, None]
+    return (t + (0.5 + 0.5 * t) * rest) / n
+
+
+EVENT = pa.struct([("type", pa.string()), ("pos", pa.float64()), ("amplitude", pa.float64())])
+#: Pairs of events that are scored at once; lists with more are taken one by one.
+CELLS = 1 << 20
+
+
+def events_scores(predicted: pa.Array, truth: pa.Array, length: np.ndarray) -> np.ndarray:
+    """Of arrays of lists of (type, pos, amplitude). Null is an empty list; inventing events where there are none costs a fifth
+    each. Lists of equal lengths are scored together."""
+    flat = [{f.name: pc.struct_field(x, f.name).cast(f.type) for f in EVENT} for x in (predicted.flatten(), truth.flatten())]
+    m, n = (x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(int) for x in (predicted, truth))
+    types = pa.concat_arrays([x["type"] for x in flat]).fill_null("").dictionary_encode()
+    codes, words = np.split(types.indices.to_numpy(zero_copy_only=False).astype(int), [m.sum()]), types.dictionary.to_pylist()
+    told, true = ({"type": c} | {k: x[k].to_numpy(zero_copy_only=False).astype(float) for k in ("pos", "amplitude")} for c, x in zip(codes, flat, strict=True))
+    cut = lambda side, sizes, rows, k: {name: x[(sizes.cumsum() - sizes)[rows, None] + np.arange(k)] for name, x in side.items()}
+
+    out = np.where(n == 0, np.maximum(0.0, 1 - INVENTED * m), 0.0)
+    rows = np.flatnonzero((n > 0) & (m > 0))
+    rows = rows[np.lexsort((m[rows], n[rows]))]
+    for alike in np.split(rows, 1 + np.flatnonzero(np.diff(n[rows]) | np.diff(m[rows]))) if len(rows) else []:
+        a, b = int(n[alike[0]]), int(m[alike[0]])
+        step = max(1, CELLS // (a * b))
+        for some in (alike[k : k + step] for k in range(0, len(alike), step)):
+            gain = gains(cut(told, m, some, b), cut(true, n, some, a), length[some], words)
+            gain = gain if a <= b else gain.transpose(0, 2, 1)
+            total = np.take_along_axis(gain, assign_all(gain)[:, :, None], 2).sum(axis=(1, 2))
+            out[some] = np.maximum(total / max(a, b), EVENT_FLOOR + (COUNT_BONUS if a == b else 0.0))
+    return out
+
+
 def events_score(predicted, truth, length: float) -> float:
-    """Of lists of (type, pos, amplitude). None is an empty list; inventing events where there are none costs a fifth each."""
-    p, g = (list(x) if x is not None else [] for x in (predicted, truth))
-    if not p or not g:
-        return max(0.0, 1 - INVENTED * len(p)) if not g else 0.0
-    gain = np.array([[pair_score(x, y, length) for x in p] for y in g])
-    pairs_ = assign(gain)
-    score = sum(gain[r, c] for r, c in pairs_) / (len(g) + len(p) - len(pairs_))
-    return max(float(score), EVENT_FLOOR + (COUNT_BONUS if len(p) == len(g) else 0.0))
+    """Of two lists."""
+    return float(events_scores(pa.array([predicted], pa.list_(EVENT)), pa.array([truth], pa.list_(EVENT)), np.array([float(length)]))[0])
 
 
 def events_score_column(predicted: Column, truth: Column, length: Column) -> Column:
-    @F.pandas_udf("double")
-    def score(p: pd.Series, g: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([events_score(a, b, c) for a, b, c in zip(p, g, n, strict=True)], dtype="float64")
+    @F.arrow_udf("double")
+    def score(p: pa.Array, g: pa.Array, n: pa.Array) -> pa.Array:
+        return pa.array(events_scores(p, g, n.to_numpy(zero_copy_only=False)))
 
     return score(predicted, truth, length.cast("double"))
 
