@@ -1,5 +1,6 @@
 """Scores that SQL can't express, against brute force, and texts with missing or odd parts."""
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -10,7 +11,11 @@ from pyspark.sql import functions as F
 from tidegrove import catalog
 from tidegrove.functions import evidence as E
 from tidegrove.functions import reasoning as R
+from tidegrove.operators.cross import channels
+from tidegrove.operators.segments import segments
+from tidegrove.operators.series import series
 from tidegrove.plans.inference import infer
+from tidegrove.plans.split import split
 
 DIR = "/root/testdata/sf0.001"
 
@@ -184,3 +189,24 @@ def test_resampled_draws_as_many_as_rows(spark):
         n, total = len(weights), sum(weights)
         assert len(got) == n == sum(got.values())
         assert all(abs(got[k] - n * w / total) < 1 + 1e-6 for k, w in enumerate(weights))
+
+
+@pytest.mark.parametrize("most", [7, 50, 1200])
+def test_a_split_ranks_its_questions_once(spark, most):
+    """Shares of kinds of very different size, then what comes next of all; up to Spark's bound the questions are worked out once."""
+    kind = F.when(F.col("id") % 500 == 0, "rare").when(F.col("id") % 3 == 0, "some").otherwise("many")
+    asked = spark.range(3000).select(kind.alias("kind"), F.col("id").alias("key"), F.lit("").alias("sub"), F.lit("x").alias("part"), F.lit("yes").alias("answer"))
+    got = split(asked, most, 3)
+    place = lambda r: hashlib.md5(f"42|{r['kind']}|{r['key']}||x".encode()).hexdigest()
+    rows, first = sorted(asked.collect(), key=place), []
+    for k in ("rare", "some", "many"):
+        first += [r for r in rows if r["kind"] == k][: most // 3]
+    rest = [r for r in rows if r not in set(first)]
+    assert sorted(got.collect()) == sorted(first + rest[: most - len(first)])
+    if most <= 1000:
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 3000") == 1
+
+
+def test_a_drawn_split_keeps_nothing(spark):
+    drawn = catalog.queries()["generate_ood_for_split"](spark, DIR)
+    assert drawn.count() == 210 and not any(f(spark, DIR).storageLevel.useDisk for f in (series, segments, channels))
