@@ -178,3 +178,16 @@ def test_row_groups_that_few_tasks_hold_are_dealt_out(spark, tmp_path, monkeypat
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_reasoning_is_what_the_first_mark_leaves(spark):
+    from tidegrove.functions import reasoning
+
+    assert apply(spark, reasoning.reasoning, ["é😀\n===\nb === c", "====", "===", "==", "", None]) == ["\nb === c", "=", "", None, None, None]
+
+
+def test_values_of_a_block_are_the_last_of_their_first_line(spark):
+    """Also where a name stands in a value, is the end of another, or has no value."""
+    lines = "metric: A\nrestart=9 start=x\noverall trend=overall trend=up, start=1, start=2, start=\nend=start=5, end=3 end=\nstart=7\noverall trend=,"
+    got = apply(spark, lambda t: F.to_json(P.measure_blocks(t)), [lines, "metric: A\nstats: mean=1, mean=2"])
+    assert [json.loads(x) for x in got] == [[{"metric": "A", "trend": "up", "first": 2.0, "last": 3.0}], [{"metric": "A", "stats": {"mean": 2.0}}]]
