@@ -180,6 +180,17 @@ def test_row_groups_that_few_tasks_hold_are_dealt_out(spark, tmp_path, monkeypat
             spark.conf.set(k, v)
 
 
+def test_tags_that_are_not_closed_are_read_once(spark):
+    """Of an answer that only opens blocks, each tag was searched from to the end of the text."""
+    import time
+
+    from tidegrove.functions import text
+
+    began = time.time()
+    assert apply(spark, text.think, ["<think>" * 60000, "<think>" * 60000 + " a </think>b</think>", "a</think><think> b", "<think></think>", None]) == [None, "<think>" * 59999 + " a", None, "", None]
+    assert time.time() - began < 20
+
+
 def test_reasoning_is_what_the_first_mark_leaves(spark):
     from tidegrove.functions import reasoning
 
