@@ -202,3 +202,14 @@ def test_values_of_a_block_are_the_last_of_their_first_line(spark):
     lines = "metric: A\nrestart=9 start=x\noverall trend=overall trend=up, start=1, start=2, start=\nend=start=5, end=3 end=\nstart=7\noverall trend=,"
     got = apply(spark, lambda t: F.to_json(P.measure_blocks(t)), [lines, "metric: A\nstats: mean=1, mean=2"])
     assert [json.loads(x) for x in got] == [[{"metric": "A", "trend": "up", "first": 2.0, "last": 3.0}], [{"metric": "A", "stats": {"mean": 2.0}}]]
+
+
+def test_many_names_in_a_text_are_looked_up_once(spark):
+    """Statistics and comparisons whose names all differ: each name was searched for among all others."""
+    import time
+
+    n = 100_000
+    texts = ["metric: A\nstats: " + ", ".join(f"k{i}={i}" for i in range(n)), "x\n===\n" + "\n".join(f"vs c{i}: PASS." for i in range(n))]
+    began = time.time()
+    assert apply(spark, lambda t: F.array(F.coalesce(F.size(F.try_element_at(P.measure_blocks(t), F.lit(1))["stats"]), F.lit(0)), F.size(P.verifications(t))), texts) == [[n, 0], [0, n]]
+    assert time.time() - began < 20
