@@ -213,3 +213,11 @@ def test_many_names_in_a_text_are_looked_up_once(spark):
     began = time.time()
     assert apply(spark, lambda t: F.array(F.coalesce(F.size(F.try_element_at(P.measure_blocks(t), F.lit(1))["stats"]), F.lit(0)), F.size(P.verifications(t))), texts) == [[n, 0], [0, n]]
     assert time.time() - began < 20
+
+
+def test_parts_of_two_scores_are_worked_out_once(spark):
+    """The verdict's and the judgment's score weigh the same coherency, comparisons and evidence."""
+    from tidegrove import catalog
+
+    plan = catalog.queries()["score_yes_no"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("THRESHOLD") == 1
