@@ -215,6 +215,23 @@ def test_many_names_in_a_text_are_looked_up_once(spark):
     assert time.time() - began < 20
 
 
+def test_many_conditions_are_looked_up_once(spark):
+    """Conditions whose numbers all differ: all others were searched for each."""
+    import time
+
+    n = 20_000
+    began = time.time()
+    assert apply(spark, lambda t: F.size(J.labelled(t, "condition")), ["\n".join(f"condition {i}: met" for i in range(n))]) == [n]
+    assert time.time() - began < 20
+
+
+def test_passages_of_a_label(spark):
+    """The first of a number counts; a colon in a passage, other labels and texts without one."""
+    cases = ["Condition 1: a: b\ncondition 2: c condition 1: d\nall conditions: e", "event 3:x summary: condition 07:y", "preconditions 1: x", "", None]
+    got = apply(spark, lambda t: J.labelled(t, "condition"), cases)
+    assert got == [{"1": " a: b\n", "2": " c "}, {"07": "y"}, {}, {}, None]
+
+
 def test_parts_of_two_scores_are_worked_out_once(spark):
     """The verdict's and the judgment's score weigh the same coherency, comparisons and evidence."""
     from tidegrove import catalog
