@@ -210,3 +210,36 @@ def test_a_split_ranks_its_questions_once(spark, most):
 def test_a_drawn_split_keeps_nothing(spark):
     drawn = catalog.queries()["generate_ood_for_split"](spark, DIR)
     assert drawn.count() == 210 and not any(f(spark, DIR).storageLevel.useDisk for f in (series, segments, channels))
+
+
+def test_a_split_plans_no_two_kinds_at_once(spark):
+    """The driver keeps the plan of each job, so the largest must not grow with the number of kinds."""
+    from tidegrove.plans.split import KINDS, generate_ood_for_split, questions
+
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def plans(run):
+        last = max((e.executionId() for e in listed()), default=-1)
+        run()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return [len(e.physicalPlanDescription()) for e in listed() if e.executionId() > last]
+
+    def listed():
+        jobs = store.executionsList()
+        return [jobs.apply(k) for k in range(jobs.size())]
+
+    alone = plans(lambda: questions(spark, DIR, {"ood_trend_reversal": KINDS["ood_trend_reversal"]}).collect())
+    assert max(plans(lambda: generate_ood_for_split(spark, DIR).collect())) < 4 * max(alone)
+
+
+@pytest.mark.parametrize("most", [2, 50, 1200])
+def test_a_split_of_the_leading_questions_is_that_of_all(spark, most):
+    """Kinds of one row, of fewer rows than their share, and of most rows; a kind without rows."""
+    from tidegrove.plans.split import leading
+
+    kind = F.when(F.col("id") == 7, "one").when(F.col("id") % 100 == 0, "few").otherwise("many")
+    asked = spark.range(4000).select(kind.alias("kind"), F.col("id").alias("key"), F.lit("").alias("sub"), F.lit("x").alias("part"), F.lit("yes").alias("answer"))
+    led = [leading(asked.where(F.col("kind") == k), most) for k in ("none", "one", "few", "many")]
+    assert led[3].count() == most
+    some = led[0].unionByName(led[1]).unionByName(led[2]).unionByName(led[3])
+    assert sorted(split(some, most, 4).collect()) == sorted(split(asked, most, 4).collect())
